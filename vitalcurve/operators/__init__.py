@@ -59,5 +59,6 @@ __all__ = [
     "unit_curves",
     "unit_time_to_event",
     "weigh",
+    "welch_ttest",
     "worst_day",
 ]
