@@ -12,6 +12,12 @@ from pyspark.sql import types as T
 _JAVA_ONLY_NUMBER = r"(?i)([0-9.][df]\s*$)|(0x)"
 
 
+def _is_java_only_number(c: Column) -> Column:
+    # The pattern is tried only on text with a suspicious letter.
+    suspicious = F.right(F.rtrim(c), F.lit(1)).isin("d", "D", "f", "F") | c.contains("x") | c.contains("X")
+    return suspicious & c.rlike(_JAVA_ONLY_NUMBER)
+
+
 def require_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in dict.fromkeys(names) if n not in df.columns]
     if missing:
@@ -29,7 +35,7 @@ def as_double(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, T.DoubleType):
         return c
     if isinstance(dtype, T.StringType):
-        return F.when(~c.rlike(_JAVA_ONLY_NUMBER), c.try_cast("double"))
+        return F.when(~_is_java_only_number(c), c.try_cast("double"))
     return c.try_cast("double")
 
 

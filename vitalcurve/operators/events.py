@@ -111,7 +111,9 @@ def individuals_weighted(
         .over(along.rowsBetween(Window.unboundedPreceding, -1))
         .alias("_carry"),
         F.first("_head").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_head"),
-        F.max("_end").over(Window.partitionBy(spec.unit)).alias("_last_day"),
+        F.max("_end")
+        .over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        .alias("_last_day"),
     ).filter(F.col("_head._initial").isNotNull())
 
     zero = F.lit(0).cast("bigint")
@@ -157,7 +159,10 @@ def individuals(
             "_block"
         ),
     )
-    spread = blocks.repartition(spec.unit, "time", "event", "_block")
+    # By number: adaptive execution would merge the partitions again, as blocks are
+    # tiny until they are written out.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = blocks.repartition(tasks, spec.unit, "time", "event", "_block")
     size = F.least(F.lit(block).cast("bigint"), F.col("_n") - F.col("_block") * block)
     return spread.select(
         *kept, "event", F.explode(F.array_repeat(F.lit(1), size.cast("int"))).alias("_one")

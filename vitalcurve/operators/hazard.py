@@ -55,11 +55,10 @@ def nelson_aalen(
             F.sum("censored").cast("bigint").alias("censored"),
         )
     )
-    group = Window.partitionBy(*_GROUP)
-    in_time = group.orderBy("time")
+    in_time = Window.partitionBy(*_GROUP).orderBy("time")
     so_far = in_time.rowsBetween(Window.unboundedPreceding, 0)
+    whole = in_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     leaving = F.col("deaths") + F.col("censored")
-    at_risk = F.sum(leaving).over(group) - F.sum(leaving).over(so_far) + leaving
     n, d = F.col("at_risk"), F.col("deaths")
     if ties == "plain":
         step, square = F.try_divide(d, n), F.try_divide(d * (n - d), n.cast("double") ** 3)
@@ -68,11 +67,13 @@ def nelson_aalen(
     curve = (
         steps.withColumns(
             {
-                "at_risk": at_risk,
+                "_all": F.sum(leaving).over(whole),
+                "_gone": F.sum(leaving).over(so_far),
                 "_rank": F.row_number().over(in_time),
-                "_has_zero": F.max(F.col("time") == 0).over(group),
+                "_has_zero": F.max(F.col("time") == 0).over(whole),
             }
         )
+        .withColumn("at_risk", F.col("_all") - F.col("_gone") + leaving)
         .withColumns({"_step": step, "_square": square})
         .withColumns(
             {
@@ -86,26 +87,20 @@ def nelson_aalen(
     zero = F.lit(0).cast("bigint")
     origin = F.struct(
         zero.cast(curve.schema["time"].dataType).alias("time"),
-        F.sum(leaving).over(group).alias("at_risk"),
+        F.col("_all").alias("at_risk"),
         zero.alias("deaths"),
         zero.alias("censored"),
         F.lit(0.0).alias("hazard"),
         F.lit(0.0).alias("variance"),
     )
     needs_origin = (F.col("_rank") == 1) & ~F.col("_has_zero")
-    curve = (
-        curve.withColumns({"_row": row, "_origin": origin})
-        .select(
-            *_GROUP,
-            F.explode(
-                F.when(needs_origin, F.array("_origin", "_row")).otherwise(F.array("_row"))
-            ).alias("_r"),
-        )
-        .select(
-            *_GROUP,
-            F.concat_ws(" - ", *_GROUP).alias("label"),
-            *(F.col("_r").getField(f).alias(f) for f in fields),
-        )
+    curve = curve.select(
+        *_GROUP,
+        F.explode(F.when(needs_origin, F.array(origin, row)).otherwise(F.array(row))).alias("_r"),
+    ).select(
+        *_GROUP,
+        F.concat_ws(" - ", *_GROUP).alias("label"),
+        *(F.col("_r").getField(f).alias(f) for f in fields),
     )
     if confidence:
         z = NormalDist().inv_cdf(1 - alpha / 2)

@@ -85,7 +85,9 @@ def exact_quantiles(
     ranked = counted.withColumns(
         {
             "_end": F.sum("_c").over(ladder.rowsBetween(Window.unboundedPreceding, 0)),
-            "_total": F.sum("_c").over(Window.partitionBy(*keys, "_b")),
+            "_total": F.sum("_c").over(
+                ladder.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            ),
         }
     ).withColumn("_start", F.col("_end") - F.col("_c"))
     position = F.col("_b.p") * (F.col("n") - 1)
