@@ -80,38 +80,30 @@ def distribution_histogram(
 def critical_period_stats(
     df: DataFrame, group: str | None = None, spec: PanelSpec = PANEL
 ) -> DataFrame:
-    """Mean, exact median and deviation of the steepest-decline day and size by group."""
+    """Mean, exact median and deviation of the steepest-decline day and size by group.
+
+    A unit whose changes are all NaN counts with its day, not with its size.
+    """
     group = group or spec.density
     units = steepest_decline_per_unit(df, group, spec).select(
         group, F.col(CRITICAL_DAY).cast("double").alias(CRITICAL_DAY), "max_decline"
     )
-    moments = units.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n_units"),
-        F.avg(CRITICAL_DAY).alias("mean_critical_day"),
-        F.stddev_samp(CRITICAL_DAY).alias("sd_critical_day"),
-        F.avg("max_decline").alias("mean_max_decline"),
-        F.stddev_samp("max_decline").alias("sd_max_decline"),
-    )
     long = units.unpivot(group, [CRITICAL_DAY, "max_decline"], "_metric", "_value")
-    medians = (
-        exact_quantiles(long, [group, "_metric"], "_value", (0.5,))
-        .groupBy(group)
-        .agg(
-            F.max(F.when(F.col("_metric") == CRITICAL_DAY, F.col("q0"))).alias("median_critical_day"),
-            F.max(F.when(F.col("_metric") == "max_decline", F.col("q0"))).alias("median_max_decline"),
-        )
-    )
+    stats = exact_quantiles(long, [group, "_metric"], "_value", (0.5,))
+
+    def of(metric: str, column: str, name: str):
+        return F.max(F.when(F.col("_metric") == metric, F.col(column))).alias(name)
+
     return (
-        moments.join(medians, group, "left")
-        .select(
-            group,
-            "n_units",
-            "mean_critical_day",
-            "median_critical_day",
-            "sd_critical_day",
-            "mean_max_decline",
-            "median_max_decline",
-            "sd_max_decline",
+        stats.groupBy(group)
+        .agg(
+            of(CRITICAL_DAY, "n", "n_units"),
+            of(CRITICAL_DAY, "mean", "mean_critical_day"),
+            of(CRITICAL_DAY, "q0", "median_critical_day"),
+            of(CRITICAL_DAY, "sd", "sd_critical_day"),
+            of("max_decline", "mean", "mean_max_decline"),
+            of("max_decline", "q0", "median_max_decline"),
+            of("max_decline", "sd", "sd_max_decline"),
         )
         .orderBy(group)
     )

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BELOW, _INSIDE, _ABOVE = -1, 0, 1
+# Parts a group is cut into where its rows meet its sketch.
+_SALTS = 32
 
 
 def exact_quantiles(
@@ -25,7 +27,7 @@ def exact_quantiles(
     probs: Sequence[float],
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """Per key group: ``n``, ``low``, ``high`` and ``q0``, ``q1``, ... for ``probs``.
+    """Per key group: ``n``, ``low``, ``high``, ``mean``, ``sd`` and ``q0``, ``q1``, ... for ``probs``.
 
     Quantiles interpolate linearly between the ranks next to ``p * (n - 1)``.
     Null and NaN values are left out, and so are rows with a null key.
@@ -38,9 +40,13 @@ def exact_quantiles(
     margin = 4.0 / accuracy
     marks = [m for p in probs for m in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = points.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_v").alias("low"),
-        F.max("_v").alias("high"),
+        F.struct(
+            F.count(F.lit(1)).alias("n"),
+            F.min("_v").alias("low"),
+            F.max("_v").alias("high"),
+            F.avg("_v").alias("mean"),
+            F.stddev_samp("_v").alias("sd"),
+        ).alias("_all"),
         F.percentile_approx("_v", marks, accuracy).alias("_marks"),
     )
     brackets = F.array(
@@ -54,8 +60,15 @@ def exact_quantiles(
             for i, p in enumerate(probs)
         )
     )
-    tagged = points.join(sketch, keys).select(
-        *keys, "n", "low", "high", "_v", F.explode(brackets).alias("_b")
+    # A group may hold a third of all rows, and so may one value. Equal values are
+    # counted first. The sketch of a group is one row, so it is repeated for every
+    # salt and the values of the group are spread over the salts; the aggregate
+    # below combines them again on the map side.
+    values = points.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_times"))
+    salted = values.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(_SALTS)))
+    repeated = sketch.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    tagged = salted.join(repeated, [*keys, "_salt"]).select(
+        *keys, "_all", "_v", "_times", F.explode(brackets).alias("_b")
     )
     side = (
         F.when(F.col("_v") < F.col("_b.lo"), _BELOW)
@@ -68,15 +81,13 @@ def exact_quantiles(
         tagged.withColumn("_side", side)
         .groupBy(
             *keys,
-            "n",
-            "low",
-            "high",
+            "_all",
             "_b",
             "_side",
             F.when(F.col("_side") == _INSIDE, F.col("_v")).alias("_key"),
         )
         .agg(
-            F.count(F.lit(1)).alias("_c"),
+            F.sum("_times").alias("_c"),
             F.min("_v").alias("_min"),
             F.max("_v").alias("_max"),
         )
@@ -90,25 +101,27 @@ def exact_quantiles(
             ),
         }
     ).withColumn("_start", F.col("_end") - F.col("_c"))
-    position = F.col("_b.p") * (F.col("n") - 1)
+    position = F.col("_b.p") * (F.col("_all.n") - 1)
     below = F.floor(position)
-    stats = ranked.groupBy(*keys, "n", "low", "high", "_b").agg(
+    stats = ranked.groupBy(*keys, "_all", "_b").agg(
         F.max(_value_at(below)).alias("_x0"),
         F.max(_value_at(F.ceil(position))).alias("_x1"),
     )
     stats = stats.withColumn(
         "_q", F.col("_x0") + (F.col("_x1") - F.col("_x0")) * (position - below)
     )
-    return stats.groupBy(*keys, "n", "low", "high").agg(
-        *(F.max(F.when(F.col("_b.i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs)))
+    names = [f"q{i}" for i in range(len(probs))]
+    wide = stats.groupBy(*keys, "_all").agg(
+        *(F.max(F.when(F.col("_b.i") == i, F.col("_q"))).alias(q) for i, q in enumerate(names))
     )
+    return wide.select(*keys, "_all.*", *names)
 
 
 def _value_at(rank: Column) -> Column:
     """Value of the 0-based rank if it lies on this row of the ladder."""
     here = (F.col("_start") <= rank) & (rank < F.col("_end"))
     known = (
-        F.when(F.col("_total") != F.col("n"), F.raise_error(F.lit("rows counted under two brackets")).cast("double"))
+        F.when(F.col("_total") != F.col("_all.n"), F.raise_error(F.lit("rows counted under two brackets")).cast("double"))
         .when(F.col("_side") == _INSIDE, F.col("_min"))
         .when((F.col("_side") == _BELOW) & (rank == F.col("_end") - 1), F.col("_max"))
         .when((F.col("_side") == _ABOVE) & (rank == F.col("_start")), F.col("_min"))
