@@ -24,6 +24,14 @@ from pyspark.sql import types as T  # noqa: E402
 import vitalcurve as vc  # noqa: E402
 from vitalcurve.plans import clean_panel, dirty_panel  # noqa: E402
 
+try:  # the subpackage may be left out
+    from vitalcurve.llm.queries import ORACLES as _LLM_ORACLES  # noqa: E402
+    from vitalcurve.llm.queries import QUERIES as _LLM_QUERIES  # noqa: E402
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith("vitalcurve.llm"):
+        raise
+    _LLM_ORACLES, _LLM_QUERIES = {}, {}
+
 Query = Callable[[SparkSession, str], DataFrame]
 _SMOKE_DIR = "/root/testdata/sf0.001"
 _PLACES = 6
@@ -79,7 +87,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One entry per operator and variant; each takes (spark, sf_dir)."""
-    return {
+    return _LLM_QUERIES | {
         # Ingest and tables
         "standardise_panel": _dirty(lambda p: p, rounded=False),
         "group_options": _clean(lambda p: vc.group_options(p, "genotype_housing")),
@@ -759,6 +767,6 @@ WHERE place = 1 AND volume_per_fish IS NOT NULL AND density_category IN ('low',
         "dirty_welch_ttest": clean["welch_ttest"],
         "anova_p_by_housing": _declines("housing") + _anova_p("declines", "critical_day", "housing"),
     }
-    return {name: _CLEAN_SQL + sql for name, sql in clean.items()} | {
+    return _LLM_ORACLES | {name: _CLEAN_SQL + sql for name, sql in clean.items()} | {
         name: _DIRTY_SQL + sql for name, sql in dirty.items()
     }
