@@ -15,6 +15,7 @@ lost leaves a file that no index row names.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,10 +32,12 @@ from .common import attempt_name, columns_of, open_folder, shared_dir, text_piec
 
 #: Ids in a block, about; a document is never split.
 BLOCK_IDS = 1_000_000
-#: Distinct chunks of text that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
-#: Signs that may be cut off the end of a chunk; an apostrophe may not, as it can begin a token of its own kind.
-_SIGNS = ".,!?;:"
+#: Distinct chunks of text that a worker remembers (some 200 bytes each) before it starts afresh.
+REMEMBERED = 1_000_000
+#: Line ends and tabs to blanks.
+_BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
+#: Signs between a letter (a-z or Latin-1) or digit and a blank: one token of their own kind. No apostrophe: it can begin others.
+_SIGNS = re.compile(rb"[.,!?;:](?:(?<=[0-9a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:]*(?= |$)")
 _DICTIONARY = "ids-by-rank"
 #: Lengths of the four ids of a control byte.
 _LENGTHS = np.array([[(byte >> shift & 3) + 1 for shift in (0, 2, 4, 6)] for byte in range(256)], np.uint8)
@@ -43,10 +46,9 @@ _LENGTHS = np.array([[(byte >> shift & 3) + 1 for shift in (0, 2, 4, 6)] for byt
 class ChunkEncoder:
     """A tokenizer file whose rules split at every blank and line end and between a letter and a sign, and ignore ASCII case.
 
-    Texts are cut at blanks, tabs and line ends; the signs that end a chunk are
-    cut off it. Each distinct part is encoded by the library once. Only cuts
-    that its own splitting makes too are made, so the ids are those of the
-    whole text.
+    Texts are cut at blanks, tabs and line ends, and before signs that end such
+    a chunk. Each distinct chunk is encoded by the library once. Only cuts that
+    its own splitting makes too are made, so the ids are those of the whole text.
     """
 
     def __init__(self, path: str):
@@ -58,44 +60,32 @@ class ChunkEncoder:
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self._between = self._ids(["\0"])[0]
-        self._chunks: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+        self._known: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_parts(self, parts: list[str]) -> None:
-        """Many parts at once, with a character between them that none of them has and that is one token."""
-        plain = [p for p in parts if "\0" not in p and len(self._between) == 1]
+    def _encode(self, chunks: list[bytes]) -> None:
+        """Many chunks at once, with a character between them that none of them has and that is one token."""
+        plain = [c for c in chunks if b"\0" not in c and len(self._between) == 1]
         groups = [plain[at : at + 500] for at in range(0, len(plain), 500)]
-        for group, ids in zip(groups, self._ids([" \0 ".join(g) for g in groups])):
+        for group, ids in zip(groups, self._ids([b" \0 ".join(g).decode("utf-8", "surrogatepass") for g in groups])):
             found = np.array(ids, self.dtype)
             cuts = np.flatnonzero(found == self._between[0])
             if len(cuts) == len(group) - 1:
-                starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(found)]
-                self._parts.update((p, found[a:b].tobytes()) for p, a, b in zip(group, starts, ends))
-        left = [p for p in parts if p not in self._parts]
-        self._parts.update((p, np.array(ids, self.dtype).tobytes()) for p, ids in zip(left, self._ids(left)))
-
-    @staticmethod
-    def _cut(chunk: str) -> tuple[str, str]:
-        """A chunk as a part that ends in a letter or digit of the Latin blocks and the signs after it, or whole."""
-        core = chunk.rstrip(_SIGNS)
-        if not core or not (core[-1].isalnum() and core[-1] < "\u0250"):
-            return (chunk.lower() if chunk.isascii() else chunk), ""
-        return (core.lower() if core.isascii() else core), chunk[len(core) :]
+                flat, width = found.tobytes(), self.dtype.itemsize
+                starts, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(flat)]
+                self._known.update(zip(group, map(flat.__getitem__, map(slice, starts, ends))))
+        left = [c for c in chunks if c not in self._known]
+        self._known.update((c, np.array(ids, self.dtype).tobytes()) for c, ids in zip(left, self._ids([c.decode("utf-8", "surrogatepass") for c in left])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian integers of ``dtype``."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        for known in (self._chunks, self._parts):
-            if len(known) > REMEMBERED:
-                known.clear()
-        new = [(c, *self._cut(c)) for c in {c for chunks in split for c in chunks}.difference(self._chunks)]
-        parts = {core for _, core, _ in new} | {tail for _, _, tail in new}
-        self._encode_parts(list(parts.difference(self._parts)))
-        self._chunks.update((c, self._parts[core] + self._parts[tail]) for c, core, tail in new)
-        return [b"".join(map(self._chunks.__getitem__, chunks)) for chunks in split]
+        split = [_SIGNS.sub(b" \\g<0>", t.encode("utf-8", "surrogatepass").lower().translate(_BLANKS)).split(b" ") if t else [] for t in texts]
+        if len(self._known) > REMEMBERED:
+            self._known.clear()
+        self._encode(list(set().union(*split).difference(self._known)))
+        return [b"".join(map(self._known.__getitem__, chunks)) for chunks in split]
 
 
 @lru_cache(maxsize=2)
@@ -186,7 +176,7 @@ def write_shards(encoded: DataFrame, folder: str, id_col: str = "doc_id", block_
 
     Shards follow one another in ``shard`` order; ids_before counts the ids of
     a shard before the block. Null document ids come first; documents with one
-    id follow one another in the order of their ids' bytes.
+    id follow one another in the order of a hash of their ids.
     """
     # as many rows as the tokenizer has ids, whatever the corpus
     counts = _frequencies(encoded).orderBy(F.desc("n"), "id").select("id").collect()
@@ -238,7 +228,9 @@ def write_shards(encoded: DataFrame, folder: str, id_col: str = "doc_id", block_
 
     spark_schema = T.StructType.fromDDL(_INDEX.format(kind.simpleString()))
     schema = to_arrow_schema(spark_schema)
-    ordered = encoded.repartitionByRange(id_col, "ids").sortWithinPartitions(id_col, "ids")
+    # by a hash of the ids too: rows with one document id spread, and the sampled keys stay short
+    order = [id_col, F.xxhash64("ids")]
+    ordered = encoded.repartitionByRange(*order).sortWithinPartitions(*order, "ids")
     return written(ordered.mapInArrow(run, spark_schema), "token-index")
 
 
