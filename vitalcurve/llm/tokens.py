@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -66,7 +67,16 @@ class ChunkEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode(self, chunks: list[bytes]) -> None:
-        """Many chunks at once, with a character between them that none of them has and that is one token."""
+        """Words of a-z go to the merges right away, as the steps before leave them alone.
+
+        Others go many at once, with a character between them that none of them has and that is one token.
+        """
+        merge, code = self.tokenizer.model.tokenize, self.dtype.char
+        words, others = [], []
+        for chunk in chunks:
+            (words if chunk.isalpha() else others).append(chunk)
+        self._known.update((c, array(code, [t.id for t in merge(c.decode())]).tobytes()) for c in words)
+        chunks = others
         plain = [c for c in chunks if b"\0" not in c and len(self._between) == 1]
         groups = [plain[at : at + 500] for at in range(0, len(plain), 500)]
         for group, ids in zip(groups, self._ids([b" \0 ".join(g).decode("utf-8", "surrogatepass") for g in groups])):
