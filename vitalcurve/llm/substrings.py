@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns_of, free_name, text_pieces
+from .common import columns_of, free_name, text_pieces, written
 
 #: Words that a span holds at least, and the sentences it takes at least.
 MIN_WORDS = 12
@@ -113,12 +113,13 @@ def repeated_spans(spans: DataFrame) -> DataFrame:
     """(_id, _key, place) of the spans that are not the first with their hash.
 
     First is the smallest document id, and the top of that document. The count
-    of a span's occurrences is combined in the tasks before the shuffle, and
-    the join back on the hash is one that adaptive execution can split, so a
-    span that every document holds is no hot task.
+    of a span's occurrences is combined in the tasks before the shuffle. The
+    repeated hashes are written, so that both sides of the join come straight
+    from a shuffle and adaptive execution can split it: a span that every
+    document holds is no hot task.
     """
     groups = spans.groupBy("h1", "h2").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    again = spans.join(groups, ["h1", "h2"]).where("place < 0 OR _id > _least OR (_id IS NULL AND _least IS NOT NULL)")
+    again = spans.join(written(groups, "repeated-hashes"), ["h1", "h2"]).where("place < 0 OR _id > _least OR (_id IS NULL AND _least IS NOT NULL)")
     return again.select("_id", "_key", F.abs("place").alias("place"))
 
 
