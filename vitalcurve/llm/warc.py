@@ -25,6 +25,8 @@ from .common import attempt_name, columns_of, open_folder, shared_dir, text_piec
 #: Ranges closer than this are read as one, of at most RANGE_BYTES (a longer record is a range of its own).
 GAP_BYTES = 64 << 10
 RANGE_BYTES = 4 << 20
+#: Bytes of archives that a task reads, about.
+TASK_BYTES = 8 << 20
 #: When the records say they were made, unless the caller says so.
 DATE = "2020-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,7 +83,8 @@ def write_archives(
     sha, size = F.sha2("_html", 256), F.octet_length("_html")
     # a payload's copies are counted before the shuffle; only payloads with copies are joined back
     copies = source.where(size >= min_bytes).groupBy(sha.alias("_sha")).agg(F.min("_page").alias("_first"), F.count("*").alias("_n"))
-    copies = copies.where("_n > 1 AND _first IS NOT NULL").drop("_n")
+    # written, so that both sides of the join come straight from a shuffle and a payload of very many pages is split
+    copies = written(copies.where("_n > 1 AND _first IS NOT NULL").drop("_n"), "repeated-payloads")
     marked = source.withColumn("_sha_own", sha).join(copies, F.col("_sha_own") == F.col("_sha"), "left")
     marked = marked.select("_page", "_url", "_html", F.when(~F.col("_page").eqNullSafe(F.col("_first")), F.col("_first")).alias("_refers"))
 
@@ -125,7 +128,8 @@ def read_records(selected: DataFrame, folder: str, id_col: str = "page_id") -> D
     """
     # records by whole ranges of a file: each range is read once, wherever it goes
     placed = selected.select("file", "offset", "length", (F.col("offset") / RANGE_BYTES).cast("bigint").alias("_range"))
-    spread = placed.repartition("file", "_range").sortWithinPartitions("file", "offset")
+    total = selected.agg(F.sum("length")).first()[0] or 0  # the index is small; the tasks are sized by what it points to
+    spread = placed.repartition(max(1, -(-total // TASK_BYTES)), "file", "_range").sortWithinPartitions("file", "offset")
     fields = [(id_col, T.LongType()), ("url", T.StringType()), ("payload", T.BinaryType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType())]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
