@@ -33,6 +33,8 @@ from .common import attempt_name, columns_of, open_folder, shared_dir, text_piec
 
 #: Ids in a block, about; a document is never split.
 BLOCK_IDS = 1_000_000
+#: Bytes of shards that a task reads back, about.
+TASK_BYTES = 16 << 20
 #: Distinct chunks of text that a worker remembers (some 200 bytes each) before it starts afresh.
 REMEMBERED = 1_000_000
 #: Line ends and tabs to blanks.
@@ -274,7 +276,8 @@ def read_shards(index: DataFrame, folder: str, id_col: str = "doc_id") -> DataFr
                 yield pa.RecordBatch.from_arrays([names, starts, pa.array(lengths), ids], names=[id_col, "start", "n_tokens", "ids"])
 
     fields = [T.StructField(id_col, kind), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
-    return blocks.repartition(F.col("file"), F.col("offset")).mapInArrow(run, T.StructType(fields))
+    size = index.agg(F.sum("bytes")).first()[0] or 0  # the index is small; the tasks are sized by what it points to
+    return blocks.repartition(max(1, -(-size // TASK_BYTES)), "file", "offset").mapInArrow(run, T.StructType(fields))
 
 
 def token_files(
