@@ -48,6 +48,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def filtered(docs: DataFrame, judge, results: list[str], keep) -> DataFrame:
+    """The rows that ``keep`` holds for once ``judge`` has added ``results``; columns of those names come through unharmed."""
+    clash = {c: free_name(docs, f"_own_{c}") for c in docs.columns if c.lower() in results}
+    kept = judge(docs.withColumnsRenamed(clash)).where(keep).drop(*results)
+    return kept.withColumnsRenamed({new: old for old, new in clash.items()})
+
+
 def text_pieces(batches: Iterator[pa.RecordBatch], column: str, chars: int = PIECE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches with about ``chars`` characters of ``column`` each, and those texts (null stays None)."""
     for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import columns_of, free_name, text_pieces, written
+from .common import columns_of, filtered, free_name, text_pieces, written
 
 #: Words of items in one broadcast block (an item is never split; about 60 bytes a word in a task).
 BLOCK_WORDS = 500_000
@@ -283,5 +283,5 @@ def _scan(docs: DataFrame, schema: T.StructType, block, text_col: str, words: st
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns as they were (options: see ``contamination``)."""
-    judged = contamination(docs.select(F.struct("*").alias("_row"), F.col(options.get("id_col", "doc_id")).alias("doc_id"), F.col(options.get("text_col", "text")).alias("text")), items, **{k: v for k, v in options.items() if k not in ("id_col", "text_col")})
-    return judged.where("NOT contaminated").select("_row.*")
+    results = ["n_words", "n_hit", "n_items", "items", "contaminated"]
+    return filtered(docs, lambda d: contamination(d, items, **options), results, ~F.col("contaminated"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import columns_of, free_name, text_pieces
+from .common import columns_of, filtered, text_pieces
 from .crf import Model, fit, posteriors
 
 #: What a text without letters, or one that no model was learned for, is labelled.
@@ -117,6 +117,5 @@ def held_out(id_col: str = "doc_id"):
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a language whose share is at least ``min_score``, all columns as they were."""
-    row = free_name(docs, "_row")
-    judged = identify(docs.select(F.struct("*").alias(row), F.col(text_col).alias("_text")), model, "_text")
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(f"{row}.*")
+    found = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
+    return filtered(docs, lambda d: identify(d, model, text_col), ["lang_pred", "score"], found)
