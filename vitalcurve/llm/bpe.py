@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import columns_of, text_pieces
@@ -29,7 +28,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Longer pieces (bytes) are merged one by one with a heap: a matrix takes a round over the whole row for every merge.
 MATRIX_BYTES = 256
 #: Distinct pieces that a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 
 class PairTable:
@@ -229,11 +228,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks_path, pattern)
         for piece, texts in text_pieces(batches, text_col):
-            ids = bpe.encode(texts)
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
-            yield pa.RecordBatch.from_arrays([piece.column(id_col), lists], names=[id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([piece.column(id_col), _list_array(bpe.encode(texts))], names=[id_col, "ids"])
 
     return source.mapInArrow(run, T.StructType([source.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
@@ -251,33 +246,39 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
+def _list_array(lists: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32), pa.int32()))
+
+
 def _lists(column: pa.ListArray) -> Iterator[np.ndarray | None]:
     offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
     for valid, low, high in zip(column.is_valid().to_pylist(), offsets, offsets[1:]):
         yield values[low:high] if valid else None
 
 
-def digests(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids, n_tokens, ids_sha256, decoded_sha256): the ids of ``encode`` decoded again, and both sides hashed in one pass.
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, n_tokens, ids_sha256, decoded_sha256): every whole text encoded, its ids decoded again, and both hashed.
 
-    ids_sha256 is over the decimal ids with commas between them.
+    One pass, so ids and bytes do not leave the task between the steps.
+    ids_sha256 is over the decimal ids with commas between them. Rows are as
+    in ``encode``.
     """
-    source = columns_of(encoded, [id_col, "ids"])
+    source = columns_of(docs, [id_col, text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks_path, pattern)
         decimal = np.array([str(i) for i in range(len(bpe.lengths))], object)
-        for batch in batches:
-            counts, ids_hash, decoded_hash = [], [], []
-            for ids in _lists(batch.column("ids")):
-                counts.append(len(ids))
-                ids_hash.append(hashlib.sha256(",".join(decimal[ids].tolist()).encode()).hexdigest())
-                decoded_hash.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+        for piece, texts in text_pieces(batches, text_col):
+            encoded = bpe.encode(texts)
+            ids_hash = [hashlib.sha256(",".join(decimal[ids].tolist()).encode()).hexdigest() for ids in encoded]
+            decoded_hash = [hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in encoded]
+            counts = pa.array([len(ids) for ids in encoded], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())],
+                [piece.column(id_col), _list_array(encoded), counts, pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())],
                 names=[id_col, "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    fields = [*source.schema.fields, T.StructField("n_tokens", T.LongType())]
+    fields = [source.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
     fields += [T.StructField(n, T.StringType()) for n in ("ids_sha256", "decoded_sha256")]
-    return source.where(F.col("ids").isNotNull()).mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(run, T.StructType(fields))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a task works on at a time; a longer text is a piece of its own.
-PIECE_CHARS = 2_000_000
+PIECE_CHARS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

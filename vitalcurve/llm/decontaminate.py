@@ -30,6 +30,8 @@ from .common import columns_of, filtered, free_name, text_pieces, written
 #: Words of items in one broadcast block (an item is never split; about 60 bytes a word in a task).
 BLOCK_WORDS = 500_000
 _LANES = 200_000
+#: Characters hashed at a time: arrays of about a hundred bytes a character.
+_PIECE_CHARS = 400_000
 
 # ASCII letters lower-cased and digits; every byte above 0x7F belongs to a word; all else parts words.
 _KEEP = np.zeros(256, np.uint8)
@@ -99,7 +101,7 @@ def _item_words(items: DataFrame, text_col: str) -> DataFrame:
     """(_item, _pos, _hash): every word of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in text_pieces(batches, text_col):
+        for piece, texts in text_pieces(batches, text_col, _PIECE_CHARS):
             hashes, begins = hashed_words(texts)
             counts = np.diff(begins)
             item = np.repeat(piece.column("_item").to_numpy(), counts)
@@ -113,7 +115,7 @@ def _word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(_hash, _n): how many words of all documents equal each word; counted in the task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_pieces(batches, text_col):
+        for _, texts in text_pieces(batches, text_col, _PIECE_CHARS):
             keys, counts = np.unique(hashed_words(texts)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["_hash", "_n"])
 
@@ -266,7 +268,7 @@ def _scan(docs: DataFrame, schema: T.StructType, block, text_col: str, words: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Block(*block.value)
-        for piece, texts in text_pieces(batches, text_col):
+        for piece, texts in text_pieces(batches, text_col, _PIECE_CHARS):
             counts, spans, found = index.hits(texts)
             held, names = piece.column(hits).to_pylist(), piece.column("items").to_pylist()
             for i, own in spans.items():

@@ -22,7 +22,7 @@ UNKNOWN = "und"
 SAMPLE_DOCS = 250
 SAMPLE_CHARS = 20_000
 #: Distinct words whose weights a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 

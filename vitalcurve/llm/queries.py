@@ -86,8 +86,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS, PATTERN)
-    return bpe.digests(encoded, BYTE_RANKS, PATTERN).drop("ids")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, PATTERN).drop("ids")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
