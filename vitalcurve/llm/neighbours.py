@@ -34,7 +34,7 @@ BLOCK_QUERIES = 1_024
 BOUNDARY_RATIO = 1.05
 REPLICAS = 4
 #: A query searches the lists whose centroid is at most this many times as far as its nearest.
-SEARCH_RATIO = 1.18
+SEARCH_RATIO = 1.3
 _EDGES = 16
 
 
