@@ -36,7 +36,7 @@ _INF = 1 << 40
 class Costs:
     """What a merge, another role and an empty turn cost."""
 
-    merge: int = 2
+    merge: int = 1
     relabel: int = 3
     insert: int = 2
 
