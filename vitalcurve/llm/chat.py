@@ -180,7 +180,8 @@ def format_chats(
     Rows without a conversation form one together. A conversation of up to
     ``part_turns`` turns is one row (part 0); a longer one may be several, to be
     put together in order of part, so no task or row holds it all. Ties between
-    repairs of equal cost are broken by a fixed order. Other columns are not read.
+    repairs of equal cost are broken by a fixed order, in each part by itself.
+    Other columns are not read.
     """
     spark = turns.sparkSession
     if not spark.sparkContext.getCheckpointDir():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,16 @@ from pyspark.sql import functions as F
 PIECE_CHARS = 1_000_000
 
 
+def visible_to_tasks(spark: SparkSession) -> None:
+    """Puts the folder that holds this library on the path of the Python workers, for sessions that were started without it.
+
+    A cluster whose machines have the library installed elsewhere is not affected.
+    """
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known.get("PYTHONPATH")]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``; where that is unset (tests, one machine), in a local temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, language, neighbours, simhash, substrings, tokens, urls, warc
+from .common import visible_to_tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,7 @@ LISTED_SITES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    visible_to_tasks(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
