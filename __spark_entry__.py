@@ -70,10 +70,8 @@ _TWO_GROUPS = ["Brand#1 (Beaker)", "Brand#2 (Dish)"]
 _TWO_DENSITIES = ["low", "high"]
 _TWO_GENOTYPES = ["Brand#1", "Brand#2", "Brand#3"]
 _DAY = "days_since_fertilization"
-
-
-def _on_early_days(df: DataFrame) -> DataFrame:
-    return df.filter(F.col(_DAY) <= 30)
+_LOW_THRESHOLD = 20.0
+_GROUP_NAMES = {"density_category": "density", "housing": "housing"}
 
 
 def _by_cross_and_genotype(df: DataFrame) -> DataFrame:
@@ -111,8 +109,8 @@ def queries() -> dict[str, Query]:
         ),
         "group_worst_day": _clean(vc.worst_day),
         "median_survival": _clean(lambda p: vc.median_survival(p, "density_category")),
-        "median_survival_early": _clean(
-            lambda p: vc.median_survival(_on_early_days(p), "genotype_housing")
+        "median_survival_threshold": _clean(
+            lambda p: vc.median_survival(p, "genotype_housing", threshold=_LOW_THRESHOLD)
         ),
         "dirty_median_survival": _dirty(lambda p: vc.median_survival(p, "density_category")),
         "unit_curves": _clean(lambda p: vc.unit_curves(p, "genotype_housing"), rounded=False),
@@ -339,16 +337,15 @@ SELECT {group}, {_DAY}, {_r('mean')} AS mean, {_r('sd')} AS sd, n{se},
 FROM cells"""
 
 
-def _median(group: str, where: str = "true") -> str:
+def _median(group: str, threshold: float = 50) -> str:
     return f"""
-, filtered AS (SELECT * FROM panel WHERE {where}),
-means AS (SELECT {group} AS g, {_DAY} AS t, avg(survival_rate) AS m FROM filtered GROUP BY 1, 2),
-reached AS (SELECT g, min(t) AS t FROM means WHERE m <= 50 GROUP BY 1),
-never AS (SELECT g FROM means GROUP BY 1 HAVING min(m) > 50),
+, means AS (SELECT {group} AS g, {_DAY} AS t, avg(survival_rate) AS m FROM panel GROUP BY 1, 2),
+reached AS (SELECT g, min(t) AS t FROM means WHERE m <= {threshold} GROUP BY 1),
+never AS (SELECT g FROM means GROUP BY 1 HAVING min(m) > {threshold}),
 both_kinds AS (
   SELECT g, t AS median_day, CAST(t AS VARCHAR) AS median_day_text FROM reached
   UNION ALL SELECT g, NULL, '> Max Day' FROM never),
-units AS (SELECT {group} AS g, count(DISTINCT dish_id) AS n FROM filtered GROUP BY 1)
+units AS (SELECT {group} AS g, count(DISTINCT dish_id) AS n FROM panel GROUP BY 1)
 SELECT both_kinds.g AS {group}, coalesce(n, 0) AS n_units, median_day, median_day_text
 FROM both_kinds LEFT JOIN units ON both_kinds.g = units.g"""
 
@@ -362,20 +359,20 @@ pairs AS (
 SELECT dish_id, g AS {group}, {_DAY}, {measure} FROM filtered JOIN pairs ON dish_id = u"""
 
 
+# One pass: structs compare field by field, and a false before each value puts nulls first.
 _ORDERED_SQL = f"""
-, ordered AS (
-  SELECT *,
-         row_number() OVER (PARTITION BY dish_id ORDER BY {_DAY} NULLS FIRST, genotype NULLS FIRST,
-                            housing NULLS FIRST, density_category NULLS FIRST) AS from_start,
-         row_number() OVER (PARTITION BY dish_id ORDER BY {_DAY} DESC NULLS LAST,
-                            survival_rate DESC NULLS LAST) AS from_end
-  FROM panel),
-firsts AS (SELECT * FROM ordered WHERE from_start = 1),
-lasts AS (SELECT dish_id, {_DAY} AS last_day, survival_rate AS final_survival_rate FROM ordered WHERE from_end = 1),
+, ends AS (
+  SELECT dish_id,
+         min(struct_pack(t0 := {_DAY} IS NOT NULL, t := {_DAY}, a0 := genotype IS NOT NULL, genotype := genotype,
+                         b0 := housing IS NOT NULL, housing := housing,
+                         c0 := density_category IS NOT NULL, density_category := density_category,
+                         cross_id := cross_id, genotype_housing := genotype_housing)) AS first,
+         max(struct_pack(t0 := {_DAY} IS NOT NULL, t := {_DAY}, v0 := survival_rate IS NOT NULL, v := survival_rate)) AS last
+  FROM panel GROUP BY dish_id),
 finals AS (
-  SELECT firsts.dish_id, last_day, lasts.final_survival_rate, genotype, housing, density_category,
-         cross_id, genotype_housing
-  FROM firsts JOIN lasts ON firsts.dish_id = lasts.dish_id)"""
+  SELECT dish_id, last.t AS last_day, last.v AS final_survival_rate, first.genotype AS genotype, first.housing AS housing,
+         first.density_category AS density_category, first.cross_id AS cross_id, first.genotype_housing AS genotype_housing
+  FROM ends)"""
 
 
 def _declines(group: str) -> str:
@@ -619,8 +616,8 @@ def _anova_p(points: str, metric: str, group: str) -> str:
         + _beta_integral("tested", "f", "(d2 / 2.0)", "(d1 / 2.0)", "d2 / (d2 + d1 * f)")
         + f"""
 SELECT {_anova_columns(group)}, {_r('p')} AS p_value,
-       CASE WHEN p < 0.05 THEN 'Significant difference between density groups (p<0.05)'
-            ELSE 'No significant difference between density groups (p>=0.05)' END AS conclusion
+       CASE WHEN p < 0.05 THEN 'Significant difference between {_GROUP_NAMES[group]} groups (p<0.05)'
+            ELSE 'No significant difference between {_GROUP_NAMES[group]} groups (p>=0.05)' END AS conclusion
 FROM groups CROSS JOIN (SELECT tested.*, p FROM tested JOIN beta_values USING (f))"""
     )
 
@@ -682,7 +679,7 @@ FROM welch LEFT JOIN beta_values USING (genotype)""",
 placed AS (SELECT *, row_number() OVER (PARTITION BY density_category ORDER BY m, t) AS place FROM cells)
 SELECT density_category, t AS worst_day, {_r('m')} AS worst_mean_change FROM placed WHERE place = 1""",
         "median_survival": _median("density_category"),
-        "median_survival_early": _median("genotype_housing", f"{_DAY} <= 30"),
+        "median_survival_threshold": _median("genotype_housing", _LOW_THRESHOLD),
         "unit_curves": _lines("genotype_housing", "survival_rate", "true"),
         "cumulative_events": _lines(
             "density_category",

@@ -51,8 +51,8 @@ NOTE_INSUFFICIENT = "Insufficient data"
 NOTE_NAN = "Calculation resulted in NaN"
 NOTE_SIGNIFICANT = "Significant (p<0.05)"
 NOTE_NOT_SIGNIFICANT = "Not Significant (p>=0.05)"
-ANOVA_SIGNIFICANT = "Significant difference between density groups (p<0.05)"
-ANOVA_NOT_SIGNIFICANT = "No significant difference between density groups (p>=0.05)"
+ANOVA_SIGNIFICANT = "Significant difference between {} groups (p<0.05)"
+ANOVA_NOT_SIGNIFICANT = "No significant difference between {} groups (p>=0.05)"
 ANOVA_NAN = "Result is NaN"
 ANOVA_SKIPPED = "ANOVA Not Performed"
 SIGNIFICANCE_LEVEL = 0.05

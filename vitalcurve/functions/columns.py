@@ -26,12 +26,14 @@ def as_text(df: DataFrame, name: str) -> Column:
 
 
 def as_double(df: DataFrame, name: str) -> Column:
-    """The column as double; text that is not a number becomes null."""
+    """The column as double; text that is not a number (blanks around one are allowed) and other types become null."""
     dtype, c = df.schema[name].dataType, F.col(name)
     if isinstance(dtype, T.DoubleType):
         return c
     if isinstance(dtype, T.StringType):
         return F.when(~c.rlike(_JAVA_ONLY_NUMBER), c.try_cast("double"))
+    if not isinstance(dtype, T.NumericType | T.BooleanType):
+        return F.lit(None).cast("double")  # a date, say, is not a number
     return c.try_cast("double")
 
 

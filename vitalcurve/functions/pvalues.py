@@ -46,8 +46,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    return math.nan  # not settled: null in the table, rather than a value that may be wrong
 
 
 def regularized_beta(a: float, b: float, x: float, y: float) -> float:

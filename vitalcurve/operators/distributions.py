@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contract import CRITICAL_DAY, PANEL, PanelSpec
-from ..functions.columns import keep_groups
+from ..functions.columns import is_finite, keep_groups
 from .quantiles import exact_quantiles
 from .reductions import metric_per_unit, steepest_decline_per_unit
 
@@ -62,14 +62,14 @@ def distribution_histogram(
     wanted: Wanted = None,
     spec: PanelSpec = PANEL,
 ) -> DataFrame:
-    """Units per group and bin [start + bin * width, start + (bin + 1) * width)."""
+    """Units per group and bin [start + bin * width, start + (bin + 1) * width); values that are not finite have none."""
     if not width > 0:
         raise ValueError("width must be positive")
     points = distribution_points(df, metric, group, wanted, spec)
     v = F.col(metric).cast("double")
     bin_no = F.floor((v - start) / width)
     return (
-        points.filter(~F.isnan(v))
+        points.filter(is_finite(v))
         .groupBy(F.col(group), bin_no.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(group, "bin", (F.col("bin") * width + start).alias("bin_start"), "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contract import PANEL, UNIT_GROUP_COLUMNS, PanelSpec
@@ -135,6 +135,13 @@ def individuals_weighted(
     )
 
 
+def _most_partitions(spark: SparkSession) -> int:
+    """Partitions that a shuffle starts from: the adaptive number if it is set, else that of shuffles, else the cores."""
+    names = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.shuffle.partitions")
+    set_ = [v for v in (spark.conf.get(n, None) for n in names) if v and v.isdigit()]
+    return int(set_[0]) if set_ else spark.sparkContext.defaultParallelism
+
+
 def individuals(
     df: DataFrame, spec: PanelSpec = PANEL, block: int = _ROWS_PER_BLOCK
 ) -> DataFrame:
@@ -155,14 +162,17 @@ def individuals(
         *kept,
         F.col("_c.event").alias("event"),
         F.col("_c.n").alias("_n"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_c.n") - 1) / block))).alias(
-            "_block"
-        ),
+        F.floor((F.col("_c.n") - 1) / block).alias("_last"),
     )
+    # In two steps: no array has more than block + 1 elements, for rows of up to block ** 3 individuals.
+    step = F.lit(block).cast("bigint")
+    blocks = blocks.withColumn("_high", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / step))))
+    within = F.least(step - 1, F.col("_last") - F.col("_high") * step)
+    blocks = blocks.withColumn("_low", F.explode(F.sequence(F.lit(0).cast("bigint"), within)))
+    blocks = blocks.withColumn("_block", F.col("_high") * step + F.col("_low")).drop("_high", "_low", "_last")
     # By number: adaptive execution would merge the partitions again, as blocks are
     # tiny until they are written out.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = blocks.repartition(tasks, spec.unit, "time", "event", "_block")
+    spread = blocks.repartition(_most_partitions(df.sparkSession), spec.unit, "time", "event", "_block")
     size = F.least(F.lit(block).cast("bigint"), F.col("_n") - F.col("_block") * block)
     return spread.select(
         *kept, "event", F.explode(F.array_repeat(F.lit(1), size.cast("int"))).alias("_one")

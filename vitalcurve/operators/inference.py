@@ -104,6 +104,7 @@ def one_way_anova(
     Groups with fewer than two finite values keep their row (n, mean, deviation
     with divisor n) but do not enter F. Without two usable groups F is null. No
     variance inside groups gives an infinite F for different means, else null.
+    The conclusion names the group column.
     """
     group = group or spec.density
     units = metric_per_unit(df, metric, group, spec)
@@ -115,21 +116,22 @@ def one_way_anova(
         F.stddev_pop(finite).alias("sd"),
         F.var_pop(finite).alias("_var"),
     )
-    # One row per group from here on: roll the sufficient statistics up.
-    overall = Window.partitionBy(F.lit(0))
+    # The totals are one row, whatever the number of groups: tasks combine them first.
+    # Between groups: each combines count, mean and squares as a weighted variance does.
     used = F.col("n") >= 2
     n, mean = F.when(used, F.col("n")), F.when(used, F.col("mean"))
-    groups = groups.withColumns(
-        {
-            "_k": F.count(n).over(overall),
-            "_n": F.sum(n).over(overall),
-            "_grand": F.try_divide(F.sum(n * mean).over(overall), F.sum(n).over(overall)),
-            "_inside": F.sum(n * F.col("_var")).over(overall),
-            "_spread": F.max(mean).over(overall) - F.min(mean).over(overall),
-        }
+    first = groups.agg(
+        F.count(n).alias("_k"),
+        F.sum(n).alias("_n"),
+        F.try_divide(F.sum(n * mean), F.sum(n)).alias("_grand"),
+        F.sum(n * F.col("_var")).alias("_inside"),
+        (F.max(mean) - F.min(mean)).alias("_spread"),
     )
+    total = first.select(F.struct(*first.columns).alias("_all")).scalar()
+    groups = groups.withColumn("_all", total).select("*", "_all.*")
     offset = mean - F.col("_grand")
-    groups = groups.withColumn("_between", F.sum(n * offset * offset).over(overall))
+    between = groups.agg(F.sum(n * offset * offset)).scalar()
+    groups = groups.withColumn("_between", between)
     performed = F.col("_k") >= 2
     between = F.try_divide(F.col("_between"), F.col("_k") - 1)
     inside = F.try_divide(F.col("_inside"), F.col("_n") - F.col("_k"))
@@ -146,11 +148,12 @@ def one_way_anova(
     ).select(group, "n", "mean", "sd", "f_statistic", "dof_between", "dof_within")
     if with_p:
         p = F.col("p_value")
+        name = "density" if group == spec.density else group
         conclusion = (
             F.when(F.col("dof_between").isNull(), C.ANOVA_SKIPPED)
             .when(p.isNull(), C.ANOVA_NAN)
-            .when(p < C.SIGNIFICANCE_LEVEL, C.ANOVA_SIGNIFICANT)
-            .otherwise(C.ANOVA_NOT_SIGNIFICANT)
+            .when(p < C.SIGNIFICANCE_LEVEL, C.ANOVA_SIGNIFICANT.format(name))
+            .otherwise(C.ANOVA_NOT_SIGNIFICANT.format(name))
         )
         out = out.withColumn(
             "p_value",
