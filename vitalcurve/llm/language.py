@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import columns_of, filtered, text_pieces
+from .common import columns_of, filtered, text_pieces, written
 from .crf import Model, fit, posteriors
 
 #: What a text without letters, or one that no model was learned for, is labelled.
@@ -48,6 +48,7 @@ def train(
     by_lang = Window.partitionBy(lang_col)
     chosen = usable.select(id_col, lang_col).withColumn("_place", F.row_number().over(by_lang.orderBy(*by_hash)))
     chosen = chosen.where(F.col("_place") <= per_language).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).distinct()
+    chosen = written(chosen, "training-ids")  # small, and its size known, so the texts need no shuffle
     rows = usable.join(chosen, (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang")), "left_semi")
     # once more, as rows may share an id
     rows = rows.withColumn("_place", F.row_number().over(by_lang.orderBy(*by_hash, text_col)))
