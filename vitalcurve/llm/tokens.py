@@ -33,6 +33,8 @@ from .common import attempt_name, columns_of, open_folder, shared_dir, text_piec
 
 #: Ids in a block, about; a document is never split.
 BLOCK_IDS = 1_000_000
+#: Characters encoded at a time: the more, the fewer chunks are looked up twice.
+PIECE_CHARS = 4_000_000
 #: Bytes of shards that a task reads back, about.
 TASK_BYTES = 16 << 20
 #: Distinct chunks of text that a worker remembers (some 200 bytes each) before it starts afresh.
@@ -112,7 +114,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(tokenizer_path)
         end = np.array([end_id], encoder.dtype).tobytes()
-        for piece, texts in text_pieces(batches, text_col):
+        for piece, texts in text_pieces(batches, text_col, PIECE_CHARS):
             ids = pa.array([x + end for x in encoder.encode(texts)], pa.binary())
             width = pa.array(list(repeat(encoder.dtype.itemsize, len(texts))), pa.int32())
             yield pa.RecordBatch.from_arrays([piece.column(id_col), ids, width], names=[id_col, "ids", "width"])
