@@ -1,11 +1,13 @@
 import math
 import random
 import statistics
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 import vitalcurve as vc
+from vitalcurve.operators.quantiles import ordered_bits
 
 
 def by_unit(df):
@@ -124,18 +126,19 @@ def test_box_of_few_values(panel):
     assert (r.lower_fence, r.upper_fence) == (1.75 - 1.5 * 10.75, 12.5 + 1.5 * 10.75)
 
 
-@pytest.mark.parametrize("accuracy", [10, 100, 10_000])
-def test_exact_quantiles_equal_the_builtin(spark, accuracy):
-    """Hot group, repeated values, tiny groups; also where the sketch is coarse."""
+def test_exact_quantiles_equal_the_builtin(spark):
+    """Hot group, repeated values, tiny groups, doubles of all sizes and signs."""
     rng = random.Random(7)
     rows = [("hot", rng.choice([0.0, rng.gauss(0, 1), float(rng.randrange(5))])) for _ in range(5000)]
     rows += [("two", 1.0), ("two", 4.0), ("one", 3.0), ("same", 2.0), ("same", 2.0), ("same", 2.0)]
     rows += [("one", None), ("nan", float("nan")), (None, 1.0)]
+    rows += [("wide", rng.choice([-1, 1]) * 2.0 ** rng.randrange(-1074, 1024)) for _ in range(500)]
+    rows += [("near", math.nextafter(2.0 ** (i % 9), 0.0 if i % 2 else math.inf)) for i in range(99)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(4)
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
     got = {
         r.g: [r.n] + [r[f"q{i}"] for i in range(len(probs))]
-        for r in vc.exact_quantiles(df, ["g"], "v", probs, accuracy).collect()
+        for r in vc.exact_quantiles(df, ["g"], "v", probs).collect()
     }
     want = {
         r.g: [r.n] + r.q
@@ -146,7 +149,29 @@ def test_exact_quantiles_equal_the_builtin(spark, accuracy):
     }
     assert set(got) == set(want)
     for g in want:
-        assert got[g] == pytest.approx(want[g], abs=1e-12), g
+        assert got[g] == pytest.approx(want[g], rel=1e-12, abs=1e-12), g
+
+
+def test_bits_are_in_the_order_of_doubles(spark):
+    sizes = {5e-324, 2.0**-1022, math.nextafter(2.0**-1022, 0.0), 1.7976931348623157e308, math.inf, 0.1}
+    sizes |= {x for e in range(-1073, 1024) for x in (2.0**e, math.nextafter(2.0**e, 0.0), math.nextafter(2.0**e, math.inf))}
+    values = sorted({-x for x in sizes} | {0.0} | sizes)
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered_bits(F.col("v")).alias("b"))
+    assert {r.v: r.b for r in df.collect()} == {v: bits_of(v) for v in values}
+
+
+def bits_of(v: float) -> int:
+    size = int.from_bytes(struct.pack(">d", abs(v)), "big")
+    return -size if v < 0 else size
+
+
+def test_quantiles_between_infinities(spark):
+    rows = [("up", x) for x in (1.0, 2.0, math.inf)] + [("down", x) for x in (-math.inf, 1.0, 3.0)]
+    rows += [("both", -math.inf), ("both", math.inf), ("all", math.inf), ("all", math.inf)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    out = {r.g: (r.q0, r.q1) for r in vc.exact_quantiles(df, ["g"], "v", (0.5, 0.75)).collect()}
+    assert out["up"] == (2.0, math.inf) and out["down"] == (1.0, 2.0) and out["all"] == (math.inf, math.inf)
+    assert math.isnan(out["both"][0]) and math.isnan(out["both"][1])
 
 
 def test_critical_period_stats(panel):

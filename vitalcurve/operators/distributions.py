@@ -37,7 +37,7 @@ def distribution_box(
     points = distribution_points(df, metric, group, wanted, spec)
     reach = 1.5 * (F.col("q2") - F.col("q0"))
     return (
-        exact_quantiles(points, [group], metric, (0.25, 0.5, 0.75))
+        exact_quantiles(points, [group], metric, (0.25, 0.5, 0.75), moments=False)
         .select(
             group,
             "n",

@@ -1,11 +1,12 @@
 """Exact quantiles by group without holding a group in one task.
 
 The built-in exact percentile keeps every distinct value of a group in one
-aggregation buffer. Here a bounded sketch first brackets each wanted rank; then
-one aggregate counts the rows below and above the bracket and the distinct
-values inside it, and the order statistics are read from that short list. The
-sketch only narrows the search: the result is exact, and a bracket that does not
-hold the rank stops the query instead of returning a wrong value.
+aggregation buffer. Here equal values are counted first, and every value gets an
+integer in the same order (the bits of the double). Counts are summed per high
+bits and per middle bits of that integer. A running sum over the high bits names
+the bucket that holds a wanted rank; inside it the middle bits, and inside those
+the low bits are searched the same way. Every step is a deterministic aggregate,
+so a lost task that runs again gives the same rows.
 """
 
 from __future__ import annotations
@@ -15,9 +16,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BELOW, _INSIDE, _ABOVE = -1, 0, 1
-# Parts a group is cut into where its rows meet its sketch.
-_SALTS = 32
+from ..functions.columns import all_present
+
+# Bits below the middle part and below the high part: no window sorts more than 2^20
+# rows of one rank, and the first one at most 4,096 for each power of two in the group.
+_MIDDLE, _HIGH = 20, 40
+_LEAST_NORMAL = 2.0**-1022
+
+
+def ordered_bits(v: Column) -> Column:
+    """A bigint for each double (not NaN), in the order of the doubles; 0 for both zeros."""
+    m = F.abs(v)
+    guess = F.floor(F.log2(m)).cast("int")
+    # A logarithm next to a power of two may be rounded over it.
+    power = (
+        F.when(F.pow(F.lit(2.0), guess) > m, guess - 1)
+        .when(F.pow(F.lit(2.0), guess + 1) <= m, guess + 1)
+        .otherwise(guess)
+    )
+    fraction = (m / F.pow(F.lit(2.0), power) - 1.0) * F.lit(2.0**52)
+    step = F.lit(2**52).cast("bigint")
+    size = (
+        F.when(m == 0.0, F.lit(0).cast("bigint"))
+        .when(m == F.lit(float("inf")), F.lit(2047).cast("bigint") * step)
+        .when(m < _LEAST_NORMAL, (m * 2.0**537 * 2.0**537).cast("bigint"))
+        .otherwise((power + 1023).cast("bigint") * step + fraction.cast("bigint"))
+    )
+    return F.when(v < 0, -size).otherwise(size)
 
 
 def exact_quantiles(
@@ -25,106 +50,80 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probs: Sequence[float],
-    accuracy: int = 10_000,
+    moments: bool = True,
 ) -> DataFrame:
     """Per key group: ``n``, ``low``, ``high``, ``mean``, ``sd`` and ``q0``, ``q1``, ... for ``probs``.
 
-    Quantiles interpolate linearly between the ranks next to ``p * (n - 1)``.
-    Null and NaN values are left out, and so are rows with a null key.
+    Quantiles interpolate linearly between the ranks next to ``p * (n - 1)``:
+    between a finite and an infinite value lies the infinite one, between
+    infinities of both signs NaN. Null and NaN values are left out, and so are
+    rows with a null key. ``moments=False`` leaves out mean and deviation.
     """
     keys = list(keys)
     v = F.col(value)
     points = df.select(*keys, v.cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
-    margin = 4.0 / accuracy
-    marks = [m for p in probs for m in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = points.groupBy(*keys).agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"),
-            F.min("_v").alias("low"),
-            F.max("_v").alias("high"),
-            F.avg("_v").alias("mean"),
-            F.stddev_samp("_v").alias("sd"),
-        ).alias("_all"),
-        F.percentile_approx("_v", marks, accuracy).alias("_marks"),
-    )
-    brackets = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(float(p)).alias("p"),
-                F.col("_marks")[2 * i].alias("lo"),
-                F.col("_marks")[2 * i + 1].alias("hi"),
-            )
-            for i, p in enumerate(probs)
-        )
-    )
-    # A group may hold a third of all rows, and so may one value. Equal values are
-    # counted first. The sketch of a group is one row, so it is repeated for every
-    # salt and the values of the group are spread over the salts; the aggregate
-    # below combines them again on the map side.
-    values = points.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_times"))
-    salted = values.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(_SALTS)))
-    repeated = sketch.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    tagged = salted.join(repeated, [*keys, "_salt"]).select(
-        *keys, "_all", "_v", "_times", F.explode(brackets).alias("_b")
-    )
-    side = (
-        F.when(F.col("_v") < F.col("_b.lo"), _BELOW)
-        .when(F.col("_v") > F.col("_b.hi"), _ABOVE)
-        .otherwise(_INSIDE)
+        all_present([*keys, "_v"]) & ~F.isnan("_v")
     )
-    # The bracket is part of the key: should a lost task rebuild a sketch, counts
-    # of two brackets cannot mix, and the total below no longer equals n.
+    bits = ordered_bits(F.col("_v"))
     counted = (
-        tagged.withColumn("_side", side)
-        .groupBy(
-            *keys,
-            "_all",
-            "_b",
-            "_side",
-            F.when(F.col("_side") == _INSIDE, F.col("_v")).alias("_key"),
-        )
-        .agg(
-            F.sum("_times").alias("_c"),
-            F.min("_v").alias("_min"),
-            F.max("_v").alias("_max"),
-        )
-    )
-    ladder = Window.partitionBy(*keys, "_b").orderBy("_side", "_key")
-    ranked = counted.withColumns(
-        {
-            "_end": F.sum("_c").over(ladder.rowsBetween(Window.unboundedPreceding, 0)),
-            "_total": F.sum("_c").over(
-                ladder.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            ),
-        }
-    ).withColumn("_start", F.col("_end") - F.col("_c"))
-    position = F.col("_b.p") * (F.col("_all.n") - 1)
-    below = F.floor(position)
-    stats = ranked.groupBy(*keys, "_all", "_b").agg(
-        F.max(_value_at(below)).alias("_x0"),
-        F.max(_value_at(F.ceil(position))).alias("_x1"),
+        points.groupBy(*keys, "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({"_middle": F.shiftright(bits, _MIDDLE), "_high": F.shiftright(bits, _HIGH)})
     )
-    stats = stats.withColumn(
-        "_q", F.col("_x0") + (F.col("_x1") - F.col("_x0")) * (position - below)
+    totals = (F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_top").alias("_top"))
+    middles = (
+        counted.withColumns({"_low": F.col("_v"), "_top": F.col("_v")})
+        .groupBy(*keys, "_high", "_middle")
+        .agg(*totals)
     )
-    names = [f"q{i}" for i in range(len(probs))]
-    wide = stats.groupBy(*keys, "_all").agg(
-        *(F.max(F.when(F.col("_b.i") == i, F.col("_q"))).alias(q) for i, q in enumerate(names))
+    highs = middles.groupBy(*keys, "_high").agg(*totals)
+
+    group = Window.partitionBy(*keys)
+    n = F.col("n")
+    ranks = [r for p in probs for r in (F.floor(p * (n - 1)), F.ceil(p * (n - 1)))]
+    wanted = F.array(*(F.struct(F.lit(i).alias("i"), r.cast("bigint").alias("rank")) for i, r in enumerate(ranks)))
+    found = (
+        highs.withColumns(
+            {
+                "_end": F.sum("_n").over(_up_to_here(group.orderBy("_high"))),
+                "n": F.sum("_n").over(group),
+                "low": F.min("_low").over(group),
+                "high": F.max("_top").over(group),
+            }
+        )
+        .withColumn("_w", F.explode(wanted))
+        .select(*keys, "n", "low", "high", "_high", "_n", "_end", F.col("_w.i").alias("_i"), F.col("_w.rank").alias("_rank"))
     )
-    return wide.select(*keys, "_all.*", *names)
-
-
-def _value_at(rank: Column) -> Column:
-    """Value of the 0-based rank if it lies on this row of the ladder."""
-    here = (F.col("_start") <= rank) & (rank < F.col("_end"))
-    known = (
-        F.when(F.col("_total") != F.col("_all.n"), F.raise_error(F.lit("rows counted under two brackets")).cast("double"))
-        .when(F.col("_side") == _INSIDE, F.col("_min"))
-        .when((F.col("_side") == _BELOW) & (rank == F.col("_end") - 1), F.col("_max"))
-        .when((F.col("_side") == _ABOVE) & (rank == F.col("_start")), F.col("_min"))
-        .otherwise(F.raise_error(F.lit("rank outside its bracket; raise accuracy")).cast("double"))
+    found = _holding_the_rank(found)
+    carried = [*keys, "n", "low", "high", "_i"]
+    one_rank = Window.partitionBy(*keys, "_i")
+    for table, narrowed, column in ((middles, ["_high"], "_middle"), (counted, ["_high", "_middle"], "_v")):
+        inside = table.select(*keys, *narrowed, column, "_n").join(found, [*keys, *narrowed])
+        inside = inside.withColumn("_end", F.sum("_n").over(_up_to_here(one_rank.orderBy(column))))
+        found = _holding_the_rank(inside.select(*carried, *dict.fromkeys([*narrowed, column]), "_n", "_end", "_rank"))
+
+    wide = found.groupBy(*keys).agg(
+        *(F.max(c).alias(c) for c in ("n", "low", "high")),
+        *(F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"_x{i}") for i in range(len(ranks))),
     )
-    return F.when(here, known)
+    quantiles = []
+    for i, p in enumerate(probs):
+        below, above = F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}")
+        weight = p * (n - 1) - F.floor(p * (n - 1))
+        mixed = below * (1 - weight) + above * weight
+        quantiles.append(F.when((below == above) | (weight == 0), below).otherwise(mixed).alias(f"q{i}"))
+    if not moments:
+        return wide.select(*keys, "n", "low", "high", *quantiles)
+    spread = points.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"))
+    return wide.join(spread, keys).select(*keys, "n", "low", "high", "mean", "sd", *quantiles)
+
+
+def _up_to_here(window):
+    return window.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _holding_the_rank(rows: DataFrame) -> DataFrame:
+    """The rows that the 0-based rank falls on, with the rank counted from the start of each."""
+    start = F.col("_end") - F.col("_n")
+    held = rows.filter((F.col("_rank") >= start) & (F.col("_rank") < F.col("_end")))
+    return held.withColumn("_rank", F.col("_rank") - start).drop("_n", "_end")
