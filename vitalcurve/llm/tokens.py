@@ -41,19 +41,42 @@ TASK_BYTES = 16 << 20
 REMEMBERED = 1_000_000
 #: Line ends and tabs to blanks.
 _BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
-#: Signs between a letter (a-z or Latin-1) or digit and a blank: one token of their own kind. No apostrophe: it can begin others.
-_SIGNS = re.compile(rb"[.,!?;:](?:(?<=[0-9a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:]*(?= |$)")
+#: ASCII signs between a letter (a-z or Latin-1) or digit and a blank: one token of their own kind. No apostrophe: it can begin others.
+_SIGN = rb"[!-&(-/:-@\[-`{-~]"
+_SIGNS = re.compile(_SIGN + rb"(?:(?<=[0-9a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))" + _SIGN + rb"*(?= |$)")
+#: A word of lower-case letters a-z and Latin-1, which the steps before the merges leave as it is.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+# The characters that byte-level vocabularies write for bytes of such words that do not stand for themselves.
+_BYTE_CHARACTERS = {0x9F: 0x141, 0xA0: 0x142, 0xAD: 0x143}
 _DICTIONARY = "ids-by-rank"
 #: Lengths of the four ids of a control byte.
 _LENGTHS = np.array([[(byte >> shift & 3) + 1 for shift in (0, 2, 4, 6)] for byte in range(256)], np.uint8)
 
 
+class _Chunks(dict):
+    """Chunk to ids (little-endian); a chunk that is not there yet is encoded when it is looked up."""
+
+    def __init__(self, tokenizer, code: str):
+        self.tokenizer, self.merge, self.code = tokenizer, tokenizer.model.tokenize, code
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():
+            ids = [t.id for t in self.merge(chunk.decode())]
+        elif _PLAIN.fullmatch(chunk):
+            ids = [t.id for t in self.merge(chunk.decode("latin-1").translate(_BYTE_CHARACTERS))]
+        else:
+            ids = self.tokenizer.encode(chunk.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+        found = self[chunk] = array(self.code, ids).tobytes()
+        return found
+
+
 class ChunkEncoder:
-    """A tokenizer file whose rules split at every blank and line end and between a letter and a sign, and ignore ASCII case.
+    """A byte-level tokenizer file whose rules split at every blank and line end and between a letter and a sign, and ignore ASCII case.
 
     Texts are cut at blanks, tabs and line ends, and before signs that end such
-    a chunk. Each distinct chunk is encoded by the library once. Only cuts that
-    its own splitting makes too are made, so the ids are those of the whole text.
+    a chunk. Each distinct chunk is encoded by the library once, plain words by
+    its merges alone. Only cuts that its own splitting makes too are made, so
+    the ids are those of the whole text.
     """
 
     def __init__(self, path: str):
@@ -64,42 +87,18 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self._between = self._ids(["\0"])[0]
-        self._known: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode(self, chunks: list[bytes]) -> None:
-        """Words of a-z go to the merges right away, as the steps before leave them alone.
-
-        Others go many at once, with a character between them that none of them has and that is one token.
-        """
-        merge, code = self.tokenizer.model.tokenize, self.dtype.char
-        words, others = [], []
-        for chunk in chunks:
-            (words if chunk.isalpha() else others).append(chunk)
-        self._known.update((c, array(code, [t.id for t in merge(c.decode())]).tobytes()) for c in words)
-        chunks = others
-        plain = [c for c in chunks if b"\0" not in c and len(self._between) == 1]
-        groups = [plain[at : at + 500] for at in range(0, len(plain), 500)]
-        for group, ids in zip(groups, self._ids([b" \0 ".join(g).decode("utf-8", "surrogatepass") for g in groups])):
-            found = np.array(ids, self.dtype)
-            cuts = np.flatnonzero(found == self._between[0])
-            if len(cuts) == len(group) - 1:
-                flat, width = found.tobytes(), self.dtype.itemsize
-                starts, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(flat)]
-                self._known.update(zip(group, map(flat.__getitem__, map(slice, starts, ends))))
-        left = [c for c in chunks if c not in self._known]
-        self._known.update((c, np.array(ids, self.dtype).tobytes()) for c, ids in zip(left, self._ids([c.decode("utf-8", "surrogatepass") for c in left])))
+        self._known = _Chunks(self.tokenizer, self.dtype.char)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian integers of ``dtype``."""
-        split = [_SIGNS.sub(b" \\g<0>", t.encode("utf-8", "surrogatepass").lower().translate(_BLANKS)).split(b" ") if t else [] for t in texts]
         if len(self._known) > REMEMBERED:
             self._known.clear()
-        self._encode(list(set().union(*split).difference(self._known)))
-        return [b"".join(map(self._known.__getitem__, chunks)) for chunks in split]
+        return [b"".join(map(self._known.__getitem__, _chunks(t))) if t else b"" for t in texts]
+
+
+def _chunks(text: str) -> list[bytes]:
+    lower = text.encode("utf-8", "surrogatepass").lower().translate(_BLANKS)
+    return _SIGNS.sub(b" \\g<0>", lower).split(b" ")
 
 
 @lru_cache(maxsize=2)
