@@ -95,11 +95,18 @@ def queries() -> dict[str, Query]:
         "stats_table_critical_period": _clean(
             lambda p: vc.stats_table(vc.critical_period_stats(p)), rounded=False
         ),
+        "stats_table_as_text": _clean(
+            lambda p: vc.stats_table(vc.welch_ttest(p), as_text=True), rounded=False
+        ),
         # Curves
         "cohort_curve_sd": _clean(lambda p: vc.survival_curve(p, "density_category")),
         "cohort_curve_sd_filtered": _clean(
             lambda p: vc.survival_curve(p, "genotype_housing", _TWO_GROUPS)
         ),
+        "cohort_curve_sd_no_group": _clean(lambda p: vc.survival_curve(p, "density_category", [])),
+        "cohort_curve_sd_wanted_table": _clean(
+            lambda p: vc.survival_curve(p, "genotype", p.filter("vol_water_total >= 490").select("genotype").distinct())
+        ),
         "dirty_cohort_curve_sd": _dirty(lambda p: vc.survival_curve(p, "density_category")),
         "remaining_curve": _clean(vc.remaining_curve),
         "dirty_remaining_curve": _dirty(vc.remaining_curve),
@@ -166,6 +173,7 @@ def queries() -> dict[str, Query]:
             lambda p: vc.scatter(p, day=20, per_fish=False, wanted=_TWO_GENOTYPES), rounded=False
         ),
         "linear_trend": _clean(vc.linear_trend),
+        "linear_trend_filtered": _clean(lambda p: vc.linear_trend(p, wanted=_TWO_GENOTYPES)),
         "linear_trend_on_day": _dirty(lambda p: vc.linear_trend(p, day=5, per_fish=False)),
         # Individuals and hazard
         "individuals": _clean(vc.individuals, rounded=False),
@@ -175,6 +183,9 @@ def queries() -> dict[str, Query]:
         "nelson_aalen_plain": _clean(
             lambda p: vc.nelson_aalen(vc.individuals_weighted(p), ["Beaker"], ties="plain")
         ),
+        "nelson_aalen_densities": _clean(
+            lambda p: vc.nelson_aalen(vc.individuals_weighted(p), densities=_TWO_DENSITIES)
+        ),
         "nelson_aalen_ci": _clean(
             lambda p: vc.nelson_aalen(vc.individuals_weighted(p), confidence=True)
         ),
@@ -264,6 +275,14 @@ raw AS (
          CAST(vol_water_total AS VARCHAR) AS vol_water_total,
          CAST(volume_per_fish AS VARCHAR) AS volume_per_fish,
          CAST(fish_density AS VARCHAR) AS fish_density,
+         CASE WHEN u % 43 = 0 THEN NULL WHEN remaining > 0 THEN 'active' ELSE 'ended' END AS status,
+         CASE WHEN k % 101 = 0 THEN NULL WHEN days_since_fertilization % 7 = 0 THEN 'yes' ELSE 'no' END AS water_changed,
+         CASE WHEN k % 103 = 0 THEN CAST(vol_water_total AS VARCHAR) || '.7'
+              WHEN k % 107 = 0 THEN '5d'
+              WHEN days_since_fertilization % 7 = 0 THEN CAST(vol_water_total AS VARCHAR)
+              ELSE '0' END AS vol_water_changed,
+         CASE WHEN k % 113 = 0 THEN '-' ELSE CAST(CAST(-0.25 AS DOUBLE) * (days_since_fertilization % 13 + 1) AS VARCHAR) END AS max_decline,
+         CASE WHEN k % 109 = 0 THEN 'NaN' ELSE CAST(days_since_fertilization % 31 AS VARCHAR) END AS critical_day,
          unnest(range(0, CASE WHEN u % 19 = 0 AND is_last THEN 2 ELSE 1 END)) AS copy_no
   FROM keyed),
 typed AS (
@@ -278,6 +297,10 @@ typed AS (
          TRY_CAST(trunc(TRY_CAST(vol_water_total AS DOUBLE)) AS BIGINT) AS vol_water_total,
          TRY_CAST(volume_per_fish AS DOUBLE) AS volume_per_fish,
          TRY_CAST(fish_density AS DOUBLE) AS fish_density,
+         status, water_changed,
+         TRY_CAST(trunc(TRY_CAST(vol_water_changed AS DOUBLE)) AS BIGINT) AS vol_water_changed,
+         TRY_CAST(max_decline AS DOUBLE) AS max_decline,
+         TRY_CAST(trunc(TRY_CAST(critical_day AS DOUBLE)) AS BIGINT) AS critical_day,
          CASE WHEN lower(in_beaker) = 'yes' THEN 'Beaker' ELSE 'Dish' END AS housing
   FROM raw),
 panel AS (
@@ -551,8 +574,15 @@ _WELCH_COLUMNS = """genotype, 'Beaker vs Dish' AS comparison, n_a, n_b, {mean_a}
        {t} AS t_statistic, {df} AS dof"""
 
 
-def _welch_columns(places: int = _PLACES) -> str:
+def _shown(x: str, places: int) -> str:
+    """A number as text with fixed digits."""
+    return f"coalesce(format('{{:.{places}f}}', {x}), 'N/A')"
+
+
+def _welch_columns(places: int = _PLACES, shown: Callable[[str, int], str] | None = None) -> str:
     def r(x: str) -> str:
+        if shown:
+            return shown(x, places)
         return _r(x) if places == _PLACES else f"(round({x}, {places}) + 0.0)"
 
     return _WELCH_COLUMNS.format(
@@ -655,9 +685,21 @@ def oracle_sql() -> dict[str, str]:
 SELECT {_PANEL_COLUMNS} FROM panel ORDER BY dish_id, {_DAY} LIMIT 100""",
         "stats_table": f"""{_WELCH_P_SQL}
 SELECT {_welch_columns(2)}, (round(p, 4) + 0.0) AS p_value, {_WELCH_NOTE}, coalesce(p < 0.05, false) AS significant
+FROM welch LEFT JOIN beta_values USING (genotype)""",
+        "stats_table_as_text": f"""{_WELCH_P_SQL}
+SELECT {_welch_columns(2, _shown)}, {_shown('p', 4)} AS p_value, {_WELCH_NOTE}, coalesce(p < 0.05, false) AS significant
 FROM welch LEFT JOIN beta_values USING (genotype)""",
         "stats_table_critical_period": _critical_stats(2),
         "cohort_curve_sd": _curve("density_category", "survival_rate", "sd", low="0", high="100"),
+        "cohort_curve_sd_no_group": _curve("density_category", "survival_rate", "sd", "false", low="0", high="100"),
+        "cohort_curve_sd_wanted_table": _curve(
+            "genotype",
+            "survival_rate",
+            "sd",
+            "genotype IN (SELECT genotype FROM panel WHERE vol_water_total >= 490)",
+            low="0",
+            high="100",
+        ),
         "cohort_curve_sd_filtered": _curve(
             "genotype_housing",
             "survival_rate",
@@ -707,6 +749,7 @@ FROM finals WHERE final_survival_rate IS NOT NULL AND housing IS NOT NULL GROUP
         "final_points": _FINAL_POINTS_SQL,
         "scatter_latest": _scatter("latest", "volume_per_fish") + "\nSELECT * FROM points",
         "linear_trend": _trend("latest", "volume_per_fish"),
+        "linear_trend_filtered": _trend("latest", "volume_per_fish", f"genotype IN {_in(_TWO_GENOTYPES)}"),
         "individuals": f"""{_INDIVIDUALS_SQL}
 SELECT dish_id, genotype, housing_type, density_category, time, event FROM (
   SELECT *, CAST(1 AS INTEGER) AS event, unnest(range(deaths)) AS i FROM weighted
@@ -714,6 +757,7 @@ SELECT dish_id, genotype, housing_type, density_category, time, event FROM (
         "individuals_weighted": _WEIGHTED_SQL,
         "nelson_aalen": _hazard(),
         "nelson_aalen_plain": _hazard("housing_type = 'Beaker'", plain=True),
+        "nelson_aalen_densities": _hazard(f"density_category IN {_in(_TWO_DENSITIES)}"),
         "nelson_aalen_ci": _hazard(confidence=True),
         "welch_ttest": f"{_WELCH_SQL}\nSELECT {_welch_columns()} FROM welch",
         "welch_ttest_p": f"""{_WELCH_P_SQL}
@@ -728,7 +772,8 @@ FROM welch LEFT JOIN beta_values USING (genotype)""",
         "anova_p": _ORDERED_SQL + _anova_p("finals", "final_survival_rate", "density_category"),
     }
     dirty = {
-        "standardise_panel": f"\nSELECT {_PANEL_COLUMNS} FROM panel",
+        "standardise_panel": f"""
+SELECT {_PANEL_COLUMNS}, status, water_changed, vol_water_changed, max_decline, critical_day FROM panel""",
         "dirty_group_options": _options("density_category"),
         "dirty_cohort_curve_sd": clean["cohort_curve_sd"],
         "dirty_remaining_curve": clean["remaining_curve"],

@@ -1,3 +1,4 @@
+import dataclasses
 import math
 
 import pytest
@@ -160,3 +161,45 @@ def test_curve_takes_any_column_names(spark):
     spec = vc.PanelSpec(unit="id", time="step", survival="level")
     (r,) = rows_of(vc.survival_curve(df, "arm", spec=spec))
     assert (r["arm"], r["step"], r["mean"], r["n"]) == ("7", 1, 3.0, 2)
+
+
+def test_every_operator_takes_renamed_columns(spark, small_panel):
+    """The same rows, whatever the columns are called."""
+    spec = vc.PanelSpec(**{f.name: f"zz_{getattr(vc.PANEL, f.name)}" for f in dataclasses.fields(vc.PanelSpec)})
+    renamed = small_panel.toDF(*(f"zz_{c}" for c in small_panel.columns))
+    operators = (
+        lambda p, s: vc.survival_curve(p, s.density, spec=s),
+        lambda p, s: vc.remaining_curve(p, spec=s),
+        lambda p, s: vc.rate_change_curve(p, spec=s),
+        lambda p, s: vc.worst_day(p, spec=s),
+        lambda p, s: vc.median_survival(p, s.density, spec=s),
+        lambda p, s: vc.unit_curves(p, s.genotype_housing, spec=s),
+        lambda p, s: vc.cumulative_events(p, s.density, spec=s),
+        lambda p, s: vc.faceted_curves(p, spec=s),
+        lambda p, s: vc.distribution_points(p, "final_survival_rate", s.genotype, spec=s),
+        lambda p, s: vc.distribution_box(p, "critical_day", s.cross, spec=s),
+        lambda p, s: vc.distribution_histogram(p, "final_survival_rate", s.housing, 5.0, spec=s),
+        lambda p, s: vc.critical_period_stats(p, spec=s),
+        lambda p, s: vc.unit_time_to_event(p, spec=s),
+        lambda p, s: vc.individuals_weighted(p, spec=s),
+        lambda p, s: vc.nelson_aalen(vc.individuals_weighted(p, spec=s), groups=s.strata),
+        lambda p, s: vc.nelson_aalen(vc.individuals(p, spec=s), groups=s.strata),
+        lambda p, s: vc.final_level(p, spec=s),
+        lambda p, s: vc.final_points(p, spec=s),
+        lambda p, s: vc.scatter(p, spec=s),
+        lambda p, s: vc.linear_trend(p, per_fish=False, spec=s),
+        lambda p, s: vc.welch_ttest(p, with_p=False, spec=s),
+        lambda p, s: vc.one_way_anova(p, with_p=False, spec=s),
+        lambda p, s: vc.panel_preview(p, spec=s),
+    )
+    for i, op in enumerate(operators):
+        plain, other = op(small_panel, vc.PANEL), op(renamed, spec)
+        assert [c.removeprefix("zz_") for c in other.columns] == plain.columns, i
+        assert as_rounded(plain) == as_rounded(other), i
+
+
+def as_rounded(df):
+    def short(v):
+        return round(v, 6) + 0.0 if isinstance(v, float) else v
+
+    return sorted(str([short(v) for v in r]) for r in df.collect())

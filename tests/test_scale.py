@@ -8,7 +8,7 @@ import vitalcurve as vc
 
 SF_DIR = "/root/testdata/sf0.001"
 _P_VALUES = {
-    "stats_table", "welch_ttest_p", "anova_p", "anova_p_by_housing",
+    "stats_table", "stats_table_as_text", "welch_ttest_p", "anova_p", "anova_p_by_housing",
 }
 
 
@@ -151,3 +151,12 @@ def test_many_individuals_of_one_row_are_spread(panel):
     assert sum(r["count"] for r in counts if r.event == 1) == 100_000
     assert sum(r["count"] for r in counts if r.event == 0) == 50_000
     assert len({r.p for r in counts}) > 1
+
+
+def test_quantiles_read_their_table_once(stored):
+    """The counted values feed all three steps; adaptive execution reuses their shuffle."""
+    box = vc.distribution_box(stored, "critical_day", "genotype")
+    box.collect()
+    final = plan_of(box).split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1
+    assert "ReusedExchange" in final and "percentile" not in final

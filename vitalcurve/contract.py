@@ -32,13 +32,6 @@ LONG_COLUMNS = (
     "vol_water_changed",
     "critical_day",
 )
-UNIT_GROUP_COLUMNS = (
-    "genotype",
-    "housing",
-    "density_category",
-    "cross_id",
-    "genotype_housing",
-)
 HOUSED_TOGETHER = "Beaker"
 HOUSED_ALONE = "Dish"
 BEAKER_FLAG = "yes"
@@ -60,7 +53,10 @@ SIGNIFICANCE_LEVEL = 0.05
 
 @dataclass(frozen=True)
 class PanelSpec:
-    """Names of the panel columns; the defaults are the contract above."""
+    """Names of the panel columns; the defaults are the contract above.
+
+    ``housing_type`` is the name that tables of individuals give to the housing.
+    """
 
     unit: str = "dish_id"
     time: str = "days_since_fertilization"
@@ -73,6 +69,21 @@ class PanelSpec:
     housing: str = "housing"
     density: str = "density_category"
     genotype_housing: str = "genotype_housing"
+    cross: str = "cross_id"
+    water: str = "vol_water_total"
+    volume_per_unit: str = "volume_per_fish"
+    crowding: str = "fish_density"
+    housing_type: str = "housing_type"
+
+    @property
+    def unit_groups(self) -> tuple[str, ...]:
+        """Columns that group units."""
+        return (self.genotype, self.housing, self.density, self.cross, self.genotype_housing)
+
+    @property
+    def strata(self) -> tuple[str, str]:
+        """Columns that a table of individuals is stratified by."""
+        return (self.housing_type, self.density)
 
 
 PANEL = PanelSpec()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..contract import PANEL, UNIT_GROUP_COLUMNS, PanelSpec
+from ..contract import PANEL, PanelSpec
 from ..functions.columns import all_present, as_long, as_text, require_columns
 from .reductions import final_per_unit
 
@@ -22,7 +24,7 @@ def unit_time_to_event(
     A null final survival is censored (0). Groups are those of the first row.
     """
     require_columns(df, spec.unit, spec.time, spec.survival)
-    groups = [g for g in UNIT_GROUP_COLUMNS if g in df.columns]
+    groups = [g for g in spec.unit_groups if g in df.columns]
     last = final_per_unit(df, groups, spec, name="_final", with_time=True)
     return last.select(
         spec.unit,
@@ -61,15 +63,16 @@ def individuals_weighted(
         spec.housing,
         spec.density,
     )
+    groups = (spec.genotype, spec.housing_type, spec.density)
     rows = df.select(
         F.col(spec.unit),
         as_long(df, spec.time).alias("time"),
         as_long(df, spec.cumulative).alias("_cum"),
         as_long(df, spec.remaining).alias("_left"),
         as_long(df, spec.initial).alias("_initial"),
-        as_text(df, spec.genotype).alias("genotype"),
-        as_text(df, spec.housing).alias("housing_type"),
-        as_text(df, spec.density).alias("density_category"),
+        as_text(df, spec.genotype).alias(spec.genotype),
+        as_text(df, spec.housing).alias(spec.housing_type),
+        as_text(df, spec.density).alias(spec.density),
     ).filter(all_present([spec.unit, "time"]))
     rows = rows.withColumn("_chunk", F.floor(F.col("time") / chunk))
 
@@ -96,9 +99,7 @@ def individuals_weighted(
                 "time",
                 F.col("_initial").isNull().alias("_no_initial"),
                 "_initial",
-                "genotype",
-                "housing_type",
-                "density_category",
+                *groups,
             )
         ).alias("_head"),
         F.max("time").alias("_end"),
@@ -124,9 +125,7 @@ def individuals_weighted(
         days.join(carried, [spec.unit, "_chunk"])
         .select(
             spec.unit,
-            F.col("_head.genotype").alias("genotype"),
-            F.col("_head.housing_type").alias("housing_type"),
-            F.col("_head.density_category").alias("density_category"),
+            *(F.col("_head").getField(g).alias(g) for g in groups),
             "time",
             F.when(F.col("_cum_high").isNotNull(), deaths).otherwise(zero).alias("deaths"),
             F.coalesce(survivors, zero).alias("censored"),
@@ -156,7 +155,7 @@ def individuals(
         F.struct(F.lit(1).alias("event"), F.col("deaths").alias("n")),
         F.struct(F.lit(0).alias("event"), F.col("censored").alias("n")),
     )
-    kept = [spec.unit, "genotype", "housing_type", "density_category", "time"]
+    kept = [spec.unit, spec.genotype, *spec.strata, "time"]
     by_event = weighted.select(*kept, F.explode(counts).alias("_c")).filter("_c.n > 0")
     blocks = by_event.select(
         *kept,
@@ -179,10 +178,10 @@ def individuals(
     ).drop("_one")
 
 
-def weigh(individual_rows: DataFrame) -> DataFrame:
+def weigh(individual_rows: DataFrame, groups: Sequence[str] = PANEL.strata) -> DataFrame:
     """Individual rows back to deaths and survivors per groups and time."""
-    require_columns(individual_rows, "housing_type", "density_category", "time", "event")
-    return individual_rows.groupBy("housing_type", "density_category", "time").agg(
+    require_columns(individual_rows, *groups, "time", "event")
+    return individual_rows.groupBy(*groups, "time").agg(
         F.sum(F.col("event").cast("bigint")).alias("deaths"),
         F.sum((1 - F.col("event")).cast("bigint")).alias("censored"),
     )

@@ -8,13 +8,13 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..contract import PANEL
 from ..functions.columns import all_present, keep_groups, require_columns
 from ..functions.harmonic import reciprocal_square_sum, reciprocal_sum
 from .events import weigh
 
 Wanted = Sequence | DataFrame | None
 TIES = ("fleming_harrington", "plain")
-_GROUP = ("housing_type", "density_category")
 
 
 def nelson_aalen(
@@ -24,8 +24,9 @@ def nelson_aalen(
     confidence: bool = False,
     alpha: float = 0.05,
     ties: str = "fleming_harrington",
+    groups: tuple[str, str] = PANEL.strata,
 ) -> DataFrame:
-    """Cumulative hazard per (housing, density) at every observed time.
+    """Cumulative hazard per (housing, density), named by ``groups``, at every observed time.
 
     ``events`` holds individual rows (``time``, ``event``) or weighted ones
     (``time``, ``deaths``, ``censored``). Rows with a null group or time are left
@@ -44,18 +45,18 @@ def nelson_aalen(
     if not 0 < alpha < 1:
         raise ValueError("alpha must be between 0 and 1")
     if "event" in events.columns:
-        events = weigh(events)
-    require_columns(events, *_GROUP, "time", "deaths", "censored")
-    rows = keep_groups(keep_groups(events, _GROUP[0], housings), _GROUP[1], densities)
+        events = weigh(events, groups)
+    require_columns(events, *groups, "time", "deaths", "censored")
+    rows = keep_groups(keep_groups(events, groups[0], housings), groups[1], densities)
     steps = (
-        rows.filter(all_present([*_GROUP, "time"]))
-        .groupBy(*_GROUP, "time")
+        rows.filter(all_present([*groups, "time"]))
+        .groupBy(*groups, "time")
         .agg(
             F.sum("deaths").cast("bigint").alias("deaths"),
             F.sum("censored").cast("bigint").alias("censored"),
         )
     )
-    in_time = Window.partitionBy(*_GROUP).orderBy("time")
+    in_time = Window.partitionBy(*groups).orderBy("time")
     so_far = in_time.rowsBetween(Window.unboundedPreceding, 0)
     whole = in_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     leaving = F.col("deaths") + F.col("censored")
@@ -95,11 +96,11 @@ def nelson_aalen(
     )
     needs_origin = (F.col("_rank") == 1) & ~F.col("_has_zero")
     curve = curve.select(
-        *_GROUP,
+        *groups,
         F.explode(F.when(needs_origin, F.array(origin, row)).otherwise(F.array(row))).alias("_r"),
     ).select(
-        *_GROUP,
-        F.concat_ws(" - ", *_GROUP).alias("label"),
+        *groups,
+        F.concat_ws(" - ", *groups).alias("label"),
         *(F.col("_r").getField(f).alias(f) for f in fields),
     )
     if confidence:
@@ -112,4 +113,4 @@ def nelson_aalen(
                 "upper": F.when(some, F.col("hazard") * spread).otherwise(0.0),
             }
         )
-    return curve.orderBy(*_GROUP, "time")
+    return curve.orderBy(*groups, "time")

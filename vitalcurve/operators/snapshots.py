@@ -77,9 +77,9 @@ def scatter(
     with a null in x, survival, genotype or initial count are left out after the
     latest row is chosen.
     """
-    x = "volume_per_fish" if per_fish else "fish_density"
+    x = spec.volume_per_unit if per_fish else spec.crowding
     require_columns(df, spec.unit, spec.time, spec.survival, spec.genotype, spec.initial, x)
-    carried = [n for n in ("vol_water_total", spec.housing, spec.density) if n in df.columns]
+    carried = [n for n in (spec.water, spec.housing, spec.density) if n in df.columns]
     rows = df.select(
         F.col(spec.unit),
         as_long(df, spec.time).alias(spec.time),
@@ -107,7 +107,7 @@ def linear_trend(
     Slope, intercept, R and the line ends (clamped to 0-100) are null with fewer
     than two points or without variation on both axes.
     """
-    x = "volume_per_fish" if per_fish else "fish_density"
+    x = spec.volume_per_unit if per_fish else spec.crowding
     points = scatter(df, day, per_fish, wanted, spec).select(
         F.col(x).alias("x"), F.col(spec.survival).alias("y")
     )

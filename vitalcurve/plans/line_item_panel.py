@@ -126,6 +126,18 @@ def dirty_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("vol_water_total").alias("vol_water_total"),
         text("volume_per_fish").alias("volume_per_fish"),
         text("fish_density").alias("fish_density"),
+        F.when(unit % 43 == 0, missing)
+        .when(F.col("remaining") > 0, "active")
+        .otherwise("ended")
+        .alias("status"),
+        F.when(k % 101 == 0, missing).when(day % 7 == 0, "yes").otherwise("no").alias("water_changed"),
+        F.when(k % 103 == 0, F.concat(text("vol_water_total"), F.lit(".7")))
+        .when(k % 107 == 0, "5d")
+        .when(day % 7 == 0, text("vol_water_total"))
+        .otherwise("0")
+        .alias("vol_water_changed"),
+        F.when(k % 113 == 0, "-").otherwise((F.lit(-0.25) * (day % 13 + 1)).cast("string")).alias("max_decline"),
+        F.when(k % 109 == 0, "NaN").otherwise((day % 31).cast("string")).alias("critical_day"),
         # The last day of some units is written twice.
         F.when((unit % 19 == 0) & last, 2).otherwise(1).alias("_copies"),
     )
