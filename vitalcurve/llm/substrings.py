@@ -1,15 +1,18 @@
-"""Substring deduplication by sliding spans of sentences: every run of consecutive sentences that occurs again goes.
-
-A span starts at every sentence and takes as few sentences as hold
-``min_words`` words, two at least. Spans are joined globally by a 128-bit hash.
-The first occurrence (smallest document id, then place) stays; sentences that
-any other occurrence covers are cut out of their text.
+"""Substring deduplication by sliding spans of pieces: every run of consecutive pieces that occurs again goes.
+
+A text is cut behind every sentence, and wherever ``WINDOW`` words hold no such
+end, behind the word of the least hash among them. So any run of ``WINDOW``
+words has a cut that these words alone decide, and whatever stands around a
+passage of 50 words, it holds a whole span. A span starts at every piece and
+takes as few as hold ``min_words`` words, two at least. Spans are joined
+globally by a 128-bit hash. The first occurrence (smallest document id, then
+place) stays; pieces that any other occurrence covers are cut out of their
+text.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,67 +24,109 @@ from pyspark.sql import types as T
 
 from .common import columns_of, free_name, text_pieces, written
 
-#: Words that a span holds at least, and the sentences it takes at least.
+#: Words that a span holds at least, and the pieces it takes at least.
 MIN_WORDS = 12
 MIN_SENTENCES = 2
-#: A sentence of more words is cut further, behind every word whose hash CUT divides: where, only its words decide.
-LONG_SENTENCE = 24
-CUT = 10
+#: So many words in a row have a cut among them: 3 * WINDOW, and 2 * WINDOW + MIN_WORDS, are less than 50.
+WINDOW = 12
+#: Words of more characters, if any is beyond ASCII, are text without blanks: each letter counts as a word, half a one for ``min_words``.
+LONG_WORD = 24
 _RUN_BITS = 31
 _RUN_MASK = (1 << _RUN_BITS) - 1
-_SENTENCES = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
-_WORDS = re.compile(r"\S+\s*|\s+")
+#: Hashes of words that a worker remembers before it starts afresh.
+_REMEMBERED = 1_000_000
+_WORDS = re.compile(r"[^\t-\r ]+[\t-\r ]*|[\t-\r ]+")
+
+
+class _Ranks(dict):
+    """Word as it stands, with the blanks after it, to its hash without them and without ASCII case; 0 behind a sentence."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > _REMEMBERED:
+            self.clear()
+        bare = word.rstrip("\t\n\v\f\r ")
+        ends = "\n" in word or bare.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", "。", "！", "？")
+        rank = self[word] = 0 if ends and bare else xxhash.xxh32_intdigest(bare.encode("utf-8", "surrogatepass").lower()) >> 1 or 1
+        return rank
+
+
+_RANKS = _Ranks()
+
+
+def _words(text: str) -> tuple[list[str], np.ndarray]:
+    """Words with the blanks after them, and twice what each counts for ``min_words``; joined they are the text."""
+    words = _WORDS.findall(text)
+    counts = np.full(len(words), 2, np.int64)
+    if words and words[0].isspace():
+        counts[0] = 0
+    if not text.isascii() and max(map(len, words), default=0) > LONG_WORD:
+        parts = [list(w.rstrip()) if len(w) > LONG_WORD and not w.isascii() else None for w in words]
+        for w, p in zip(words, parts):
+            if p:
+                p[-1] += w[len(w.rstrip()) :]
+        counts = np.concatenate([np.ones(len(p), np.int64) if p else counts[i : i + 1] for i, p in enumerate(parts)])
+        words = [x for w, p in zip(words, parts) for x in (p or [w])]
+    return words, counts
+
+
+def _cuts(words: list[str]) -> np.ndarray:
+    """Numbers of words before each cut, ascending, the last one that of all words."""
+    ranks = np.fromiter(map(_RANKS.__getitem__, words), np.int64, len(words))
+    ends = np.flatnonzero(ranks == 0) + 1
+    least, reach = ranks << 31 | np.arange(len(words)), 1
+    while reach < WINDOW and len(words) >= WINDOW:
+        step = min(reach, WINDOW - reach)
+        least, reach = np.minimum(least[:-step], least[step:]), reach + step
+    inner = (np.unique(least) & _RUN_MASK) + 1 if reach == WINDOW else ends[:0]
+    return np.union1d(np.union1d(ends, inner), [len(words)])
 
 
 def sentences_of(text: str) -> list[str]:
-    """The text in sentences with the signs and blanks after them; joined they are the text."""
-    found = []
-    for sentence in _SENTENCES.findall(text):
-        if len(sentence) > 2 * LONG_SENTENCE and len(sentence.split()) > LONG_SENTENCE:
-            part = ""
-            for word in _WORDS.findall(sentence):
-                part += word
-                if zlib.crc32(word.encode("utf-8", "surrogatepass").strip().lower()) % CUT == 0:
-                    found.append(part)
-                    part = ""
-            if part:
-                found.append(part)
-        else:
-            found.append(sentence)
-    return found
+    """The text in pieces with the blanks after them; joined they are the text."""
+    if not text:
+        return []
+    words, _ = _words(text)
+    cuts = _cuts(words).tolist()
+    return ["".join(words[a:b]) for a, b in zip([0, *cuts], cuts)]
 
 
 def spans_of(text: str, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentences, 16-byte hash) of every span; case (A-Z) and blanks do not count.
+    """(first piece, pieces, 16-byte hash) of every span; case (A-Z) and blanks do not count.
 
     A text that is too short for a span of its own has one span if it holds ``min_words`` words, else none.
     """
-    words = [s.encode("utf-8", "surrogatepass").lower().split() for s in sentences_of(text)]
-    counts = np.array([len(w) for w in words], np.int64)
+    words, counts = _words(text)
+    if not len(words):
+        return []
+    cuts = _cuts(words)
+    begins = np.concatenate(([0], cuts[:-1]))
     total = np.concatenate(([0], np.cumsum(counts)))
-    filled = np.flatnonzero(counts)  # sentences of signs alone neither start a span nor count as one
+    filled = np.flatnonzero(total[cuts] > total[begins])  # pieces of blanks alone neither start a span nor count as one
     if not len(filled):
         return []
-    # after how many sentences there are enough words, and enough sentences with words
-    enough = np.searchsorted(total, total[filled] + min_words, "left")
-    pair = np.full(len(filled), len(words) + 1)
+    # after how many pieces there are enough words, and enough pieces with words
+    enough = np.searchsorted(total[cuts], total[begins[filled]] + 2 * min_words, "left") + 1
+    pair = np.full(len(filled), len(cuts) + 1)
     pair[: max(0, len(filled) - min_sentences + 1)] = filled[min_sentences - 1 :] + 1
     ends = np.maximum(enough, pair)
-    joined = [b" ".join(w) for w in words]
+    plain = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(plain) != len(words):  # blanks before the first word, or letters
+        plain = [w.rstrip("\t\n\v\f\r ").encode("utf-8", "surrogatepass").lower() for w in words]
+    kept = ends <= len(cuts)
+    firsts, lasts = filled[kept], ends[kept]
     found = [
-        (a, b - a, xxhash.xxh3_128_digest(b" ".join(x for x in joined[a:b] if x)))
-        for a, b in zip(filled.tolist(), ends.tolist())
-        if b <= len(words)
+        (a, b - a, xxhash.xxh3_128_digest(b" ".join(plain[at:to]).strip()))
+        for a, b, at, to in zip(firsts.tolist(), lasts.tolist(), begins[firsts].tolist(), cuts[lasts - 1].tolist())
     ]
-    if not found and total[-1] >= min_words:
-        found = [(0, len(words), xxhash.xxh3_128_digest(b" ".join(x for x in joined if x)))]
+    if not found and total[-1] >= 2 * min_words:
+        found = [(0, len(cuts), xxhash.xxh3_128_digest(b" ".join(plain).strip()))]
     return found
 
 
 def sentence_spans(docs: DataFrame, id_col: str, text_col: str, min_words: int, min_sentences: int) -> DataFrame:
     """(_id, _key, place, h1, h2) of every span.
 
-    _key tells rows with one id apart; place packs the first sentence (from bit
+    _key tells rows with one id apart; place packs the first piece (from bit
     31 up) and their number, and is negative where the document has the span
     further up.
     """
@@ -126,7 +171,7 @@ def repeated_spans(spans: DataFrame) -> DataFrame:
 def drop_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES
 ) -> DataFrame:
-    """``docs`` with the sentences of all non-first repeated spans cut out of their texts; all rows and columns stay.
+    """``docs`` with the pieces of all non-first repeated spans cut out of their texts; all rows and columns stay.
 
     Whole texts are read and what stays of a text is unchanged. Rows with one
     id are one document, whose repeats are cut only where the same row holds
