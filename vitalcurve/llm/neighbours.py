@@ -30,6 +30,8 @@ LIST_VECTORS = 400
 #: Vectors and queries that one task compares at a time.
 BLOCK_VECTORS = 4_096
 BLOCK_QUERIES = 1_024
+#: Components that are multiplied at a time for exact scores.
+PRODUCTS = 1 << 21
 #: A vector also joins lists whose centroid is at most this many times as far as its nearest, up to REPLICAS lists.
 BOUNDARY_RATIO = 1.05
 REPLICAS = 4
@@ -203,12 +205,18 @@ def nearest_neighbours(
         order = np.argsort(reps, kind="stable")
         held, reps = held[order], reps[order]
         near = _unit(own) @ _unit(held).T
-        width = min(keep + 2, near.shape[1])  # some more than needed: the exact scores below decide
-        chosen = np.argpartition(-near, width - 1, axis=1)[:, :width]
-        exact = np.empty(chosen.shape)
-        for i in range(0, len(own), 256):
-            exact[i : i + 256] = cosine(own[i : i + 256, None, :], held[chosen[i : i + 256]])
-        return pd.DataFrame({"_query": np.repeat(right["_query"].to_numpy(), width), "_rep": reps[chosen].ravel(), "score": exact.ravel()})
+        # all that rounding could have put behind the keep-th; the exact scores decide, and the smaller id among equal ones
+        width = min(keep, near.shape[1])
+        least = -np.partition(-near, width - 1, axis=1)[:, width - 1 : width]
+        rows, columns = np.nonzero(near >= least - 8 * (own.shape[1] + 8) * np.finfo(np.float64).eps)
+        exact, step = np.empty(len(rows)), max(1, PRODUCTS // own.shape[1])
+        for i in range(0, len(rows), step):
+            exact[i : i + step] = cosine(own[rows[i : i + step]], held[columns[i : i + step]])
+        order = np.lexsort((columns, -exact, rows))  # held is in the order of ids
+        rows, columns, exact = rows[order], columns[order], exact[order]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < width
+        rows, columns, exact = rows[first], columns[first], exact[first]
+        return pd.DataFrame({"_query": right["_query"].to_numpy()[rows], "_rep": reps[columns], "score": exact})
 
     keys = ["_list", "_p", "_q"]
     scored = lists_.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(compare, "_query bigint, _rep bigint, score double")
