@@ -77,23 +77,36 @@ class ChunkEncoder:
     a chunk. Each distinct chunk is encoded by the library once, plain words by
     its merges alone. Only cuts that its own splitting makes too are made, so
     the ids are those of the whole text.
+
+    special: the strings of the file's special tokens, as they are written
+    there, become their ids, as the library has it by default; else they are
+    ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # in a chunk their strings are ordinary text: those that count are taken out before, with their case
+        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self._known = _Chunks(self.tokenizer, self.dtype.char)
+        named = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if special and t.special}
+        self._special = {t: np.array([i], self.dtype).tobytes() for t, i in named.items()}
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(named, key=len, reverse=True))) + ")") if named else None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian integers of ``dtype``."""
         if len(self._known) > REMEMBERED:
             self._known.clear()
-        return [b"".join(map(self._known.__getitem__, _chunks(t))) if t else b"" for t in texts]
+        return [self._ids(t) if t else b"" for t in texts]
+
+    def _ids(self, text: str) -> bytes:
+        if self._split and self._split.search(text):
+            return b"".join(self._special.get(part) or b"".join(map(self._known.__getitem__, _chunks(part))) for part in self._split.split(text))
+        return b"".join(map(self._known.__getitem__, _chunks(text)))
 
 
 def _chunks(text: str) -> list[bytes]:
@@ -102,16 +115,19 @@ def _chunks(text: str) -> list[bytes]:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def load(path: str, special: bool = False) -> ChunkEncoder:
+    return ChunkEncoder(path, special)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids binary, width int): every whole text's ids and ``end_id``, as little-endian integers of ``width`` bytes."""
+    """(id, ids binary, width int): every whole text's ids and ``end_id``, as little-endian integers of ``width`` bytes.
+
+    Strings of special tokens in a text become those tokens, as by the library's default settings.
+    """
     source = columns_of(docs, [id_col, text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load(tokenizer_path)
+        encoder = load(tokenizer_path, special=True)
         end = np.array([end_id], encoder.dtype).tobytes()
         for piece, texts in text_pieces(batches, text_col, PIECE_CHARS):
             ids = pa.array([x + end for x in encoder.encode(texts)], pa.binary())
