@@ -1,0 +1,127 @@
+"""Packing: the rule against its definition, the pieces against the tokenizer library."""
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from vitalcurve.llm import packing, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def _plain_choice(counts, length, size):
+    """The level that makes the sum of squares least, by trying all; the highest of equal ones."""
+    best = None
+    for level in range(size - length + 1):
+        if level and not counts[level]:
+            continue
+        after = counts.copy()
+        if level:
+            after[level] -= 1
+        if level + length < size:
+            after[level + length] += 1
+        total = int((after[1:size] ** 2).sum())
+        if best is None or total <= best[0]:
+            best = total, level, after
+    return best[1:]
+
+
+def test_every_placement_has_the_least_sum_of_squares():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        size = int(rng.integers(2, 40))
+        packer, counts = packing.Packer(size, 10**6), np.zeros(size + 1, np.int64)
+        for doc in range(80):
+            length = int(rng.integers(1, size))
+            level, counts = _plain_choice(counts, length, size)
+            assert packer.best_level(length) == level
+            packer.add(doc, length)
+            assert (packer.levels[1:size] == counts[1:size]).all() and packer.levels[0] == packer.levels[size] == 0
+
+
+@pytest.mark.parametrize("open_windows", [1, 2, 50, 10**6])
+@pytest.mark.parametrize("kind", ["many sizes", "one size", "long", "ones", "none"])
+def test_windows_hold_every_token_once(kind, open_windows):
+    rng = np.random.default_rng(1)
+    lengths = {"many sizes": rng.integers(1, 200, 900), "one size": np.full(500, 35), "long": rng.integers(60, 700, 100), "ones": np.ones(300, int), "none": np.zeros(0, int)}[kind]
+    packer, closed = packing.Packer(64, open_windows), []
+    for doc, total in enumerate(lengths.tolist()):
+        closed += packer.add(doc, total)
+        assert packer.levels.sum() <= open_windows
+    closed += packer.finish()
+    fill = [sum(n for *_, n in pieces) for pieces in closed]
+    assert all(f == 64 or (0 < f < 64 and f & (f - 1) == 0) for f in fill) and sum(f < 64 for f in fill) <= 6
+    pieces = defaultdict(list)
+    for doc, start, length in (p for w in closed for p in w):
+        pieces[doc].append((start, length))
+    for doc, total in enumerate(lengths.tolist()):
+        at = 0
+        for start, length in sorted(pieces[doc]):
+            assert start == at and length > 0
+            at += length
+        assert at == total
+
+
+def _check(rows, texts, tokenizer, end, window=2048):
+    """texts: id to the texts of the documents with it."""
+    sequences, documents = defaultdict(list), defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+        documents[r.doc_id].append((r.start, r.length, r.doc_tokens, r.crc))
+    for held in sequences.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at and length > 0
+            at += length
+        assert at == window or (at < window and at & (at - 1) == 0)
+    assert set(documents) == set(texts)
+    for doc, own in texts.items():
+        wanted = []
+        for text in own:
+            ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+            wanted.append(ids)
+        if len(own) == 1:
+            at = 0
+            for start, length, total, crc in sorted(documents[doc]):
+                assert start == at and total == len(wanted[0]) and crc == zlib.crc32(wanted[0][start : start + length].tobytes())
+                at += length
+            assert at == len(wanted[0])
+        else:
+            assert sum(length for _, length, *_ in documents[doc]) == sum(map(len, wanted))
+
+
+def _rows(frame):
+    from pyspark.sql import functions as F
+
+    return frame.select("*", F.crc32("ids").alias("crc")).collect()
+
+
+def test_pieces_give_the_documents_back(spark):
+    rng = random.Random(3)
+    words = "the of river stone, don't 12 Überfluß niño 7x!! <P> \n".split(" ")
+    texts = [None, "", " \n\t", "a", *(" ".join(rng.choice(words) for _ in range(rng.choice([3, 50, 900, 9_000]))) for _ in range(60)), "end <|endoftext|> next"]
+    rows = [(i, t, 5, 6, "own") for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, "without an id", 1, 1, "own"), (None, None, 1, 1, "own")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, start int, length int, ids string").repartition(3)
+    held = defaultdict(list)
+    for i, t, *_ in rows:
+        held[i].append(t)
+    tokenizer = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    _check(_rows(packing.pack(docs, queries.WORD_TOKENIZER, 1)), held, tokenizer, 1)
+    _check(_rows(packing.pack(docs, queries.WORD_TOKENIZER, 9, window=32, open_windows=4)), held, tokenizer, 9, 32)
+    assert packing.pack(docs.limit(0), queries.WORD_TOKENIZER, 1).count() == 0
+    # another type of id
+    named = packing.pack(docs.selectExpr("concat('n', doc_id) AS name", "text AS body"), queries.WORD_TOKENIZER, 1, id_col="name", text_col="body")
+    assert dict(named.dtypes)["name"] == "string" and named.where("name = 'n3' AND doc_tokens = 2").count() == 1
+
+
+def test_query_packs_the_whole_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    tokenizer = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    found = queries.op11_packing(spark, SF)
+    assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    _check(found.withColumnRenamed("ids_crc32", "crc").collect(), {r.doc_id: [r.text] for r in docs}, tokenizer, 1)

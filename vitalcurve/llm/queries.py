@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, language, neighbours, simhash, substrings, tokens, urls, warc
+from . import bpe, chat, decontaminate, language, middles, neighbours, packing, runs, simhash, substrings, tokens, urls, warc
 from .common import visible_to_tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 END_ID = 2
+PACKED_END_ID = 1
 
 RULES = [
     urls.Rule("net", "/", "block"),
@@ -91,13 +92,52 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, PATTERN).drop("ids")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, PACKED_END_ID)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document, by a hash of its id, repeats itself from some word on."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", hashed.alias("_h"), F.when(hashed % 10 == 0, words).alias("_words"))
+    rows = rows.select("doc_id", "text", "_words", F.floor(F.col("_h") / 10).alias("_g"), F.nullif(F.size("_words"), F.lit(0)).alias("_n"))
+    rows = rows.withColumn("_a", F.when(F.col("_words").isNotNull(), F.col("_g") % F.col("_n")))
+    rows = rows.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    repeated = F.expr("transform(_words, (w, i) -> CASE WHEN i < _a THEN w ELSE element_at(_words, CAST(_a + (i - _a) % _p + 1 AS INT)) END)")
+    return rows.select("doc_id", F.when(F.col("_p").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "start",
+        "length",
+        "period",
+        F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middles.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = middles.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_decontaminate, op4_token_files, op5_substring_dedup, op6_nearest_neighbours, op7_chat_format, op8_warc, op9_language, op10_byte_bpe, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_decontaminate, op4_token_files, op5_substring_dedup, op6_nearest_neighbours, op7_chat_format, op8_warc, op9_language, op10_byte_bpe, op11_packing, op12_periodic_runs, op13_fill_in_middle, pipeline)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RULE_SQL = "CASE" + "".join(
@@ -148,5 +188,22 @@ SELECT page_id, payload_bytes,
        array_to_string(flatten(list_transform(fives, lambda v: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> s) & 31) + 1 AS INTEGER), 1)))), '') AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to
+FROM parts""",
+    "op13_fill_in_middle": r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+drawn AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n,
+         list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS d FROM units),
+placed AS (
+  SELECT doc_id, text, u, n, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 100 THEN 'plain'
+              WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, coalesce(array_to_string(u[1 : a], ''), '') AS p, coalesce(array_to_string(u[a + 1 : b], ''), '') AS m, coalesce(array_to_string(u[b + 1 :], ''), '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256
 FROM parts""",
 }
