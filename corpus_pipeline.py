@@ -1,10 +1,19 @@
-"""From raw documents to token ids: five stages, each over all that the one before kept."""
+"""From raw documents to token ids: five stages, each over all that the one before kept.
+
+An empty table passes through all stages as an empty table with the columns
+that each stage returns. Null and empty texts have no letters, so they go in
+the first stage; a text that a later stage empties is encoded as no tokens.
+Rows that share an id are one document to the stages that compare documents,
+and stay rows of their own in the others; rows without an id are compared with
+none and stay, unless their text is rejected. Other columns come through
+unharmed up to the last stage, which returns ids, tokens and hashes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalcurve.llm import bpe, decontaminate, language, near, substrings
+from vitalcurve.llm import bpe, decontaminate, language, simhash, substrings
 from vitalcurve.llm.common import written
 from vitalcurve.llm.queries import BYTE_RANKS, PATTERN, table
 
@@ -15,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word similarity of 0.8 or more, that with the smallest id stays."""
-    return near.drop_near_copies(docs)
+    """Of documents whose fingerprints of three-word shingles are linked by 2 differing bits or fewer, that with the smallest id stays."""
+    return simhash.simhash_dedup(docs, words=3, radius=2)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
