@@ -4,8 +4,10 @@ Centroids come from a bounded sample, by clustering in which a list that is
 longer than its share costs more to join. Every vector goes to its nearest
 centroid's list, and to those of other centroids nearly as near (vectors at a
 boundary). A query finds the centroids near it in a graph held in memory and
-searches all lists whose distance is within a ratio of the least. Lists are
-dealt out in blocks of bounded size, so a list may be of any length.
+searches all lists whose distance is within a ratio of the least; where those
+hold fewer vectors than are asked for, the next nearest lists too, until they
+are enough. Lists are dealt out in blocks of bounded size, so a list may be of
+any length.
 """
 
 from __future__ import annotations
@@ -80,8 +82,12 @@ class CentroidGraph:
             joined[i + 1].add(i)
         self.edges = [np.array(sorted(x), np.int64) for x in joined]
 
-    def within(self, query: np.ndarray, ratio: float, breadth: int = 32) -> np.ndarray:
-        """Centroids at most ``ratio`` times as far from a unit query as the nearest that the search finds."""
+    def within(self, query: np.ndarray, ratio: float, sizes: np.ndarray, least: int, breadth: int = 32) -> np.ndarray:
+        """Centroids at most ``ratio`` times as far from a unit query as the nearest that the search finds.
+
+        sizes: vectors whose nearest centroid each is. Where those found have
+        fewer than ``least`` in all, the nearest of all centroids that have.
+        """
         distance = {0: float(_distance(self.centroids[:1] @ query)[0])}
         heap, best = [(distance[0], 0)], [-distance[0]]
         nearest = distance[0]
@@ -100,7 +106,11 @@ class CentroidGraph:
                 heapq.heappush(best, -d)
                 if len(best) > breadth:
                     heapq.heappop(best)
-        return np.array(sorted(j for j, d in distance.items() if d <= nearest * ratio), np.int64)
+        found = np.array(sorted(j for j, d in distance.items() if d <= nearest * ratio), np.int64)
+        if sizes[found].sum() < least:
+            order = np.argsort(_distance(self.centroids @ query), kind="stable")
+            found = np.union1d(found, order[: np.searchsorted(np.cumsum(sizes[order]), least) + 1])
+        return found
 
 
 def _distance(cosine: np.ndarray) -> np.ndarray:
@@ -140,8 +150,8 @@ def nearest_neighbours(
     go to the smaller id. Equal vectors are one entry of the index with the
     k + 1 smallest of their ids (no query can be nearest to more of them), so a
     vector that a third of all rows share is one row. Rows that share an id
-    count once for each vector they hold. Fewer candidates than ``k``: all of
-    them. Without any usable vector: no row.
+    count once for each vector they hold. Every query gets ``k`` rows, or all
+    candidates where there are fewer. Without any usable vector: no row.
     """
     base = usable_vectors(vectors, id_col, vec_col).distinct()
     spark = base.sparkSession
@@ -171,13 +181,22 @@ def nearest_neighbours(
             close = close <= close[:, :1] * BOUNDARY_RATIO
             rows, columns = np.nonzero(close)
             at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(near[rows, columns].astype(np.int32)), *(c.take(at) for c in batch.columns)], names=["_list", *batch.schema.names])
-
-    postings = classes.select("_rep", "_vec").mapInArrow(post, "_list int, _rep bigint, _vec array<double>")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(near[rows, columns].astype(np.int32)), pa.array(columns == 0), *(c.take(at) for c in batch.columns)], names=["_list", "_own", *batch.schema.names]
+            )
+
+    postings = classes.select("_rep", "_vec").mapInArrow(post, "_list int, _own boolean, _rep bigint, _vec array<double>")
+    # every vector is in one list as its own; a row a list, MAX_LISTS at most
+    sizes = postings.groupBy("_list").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("_parts"), F.count_if("_own").alias("_held"))
+    sizes = written(sizes, "list-sizes")
+    held = np.zeros(lists, np.int64)
+    for row in sizes.collect():
+        held[row["_list"]] = row["_held"]
+    postings = postings.drop("_own")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [graph.value.within(q, search_ratio) for q in _unit(_matrix(batch.column("_vec"))).astype(np.float32)]
+            found = [graph.value.within(q, search_ratio, held, k + 1) for q in _unit(_matrix(batch.column("_vec"))).astype(np.float32)]
             at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), *(c.take(at) for c in batch.columns)], names=["_list", *batch.schema.names])
 
@@ -186,9 +205,8 @@ def nearest_neighbours(
     probes = distinct.select("_query", "_vec").mapInArrow(probe, "_list int, _query bigint, _vec array<double>")
 
     # every block of a list's vectors meets every block of its queries once
-    sizes = postings.groupBy("_list").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("_parts"))
     calls = probes.groupBy("_list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("_calls"))
-    blocks = written(sizes.join(calls, "_list"), "list-sizes")  # a row a list, MAX_LISTS at most
+    blocks = written(sizes.drop("_held").join(calls, "_list"), "list-blocks")
 
     def dealt(df: DataFrame, own: str, parts: str, other: str, others: str) -> DataFrame:
         df = df.join(F.broadcast(blocks), "_list").withColumn(own, F.pmod(F.xxhash64("_vec"), F.col(parts)).cast("int"))
