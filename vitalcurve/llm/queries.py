@@ -26,15 +26,10 @@ RULES = [
     urls.Rule("example.com", "/de/", "block"),
     urls.Rule("org", "/fr/", "allow"),
 ]
-#: The sites whose pages make the list of URLs.
-LISTED_SITES = [
-    "ads-track.example.com",
-    "adult-x.example.com",
-    "casino-win.example.net",
-    "cheap-pills.example.net",
-    "free-bets.example.net",
-    "spam-farm.example.org",
-]
+#: Sites, without what stands before and behind their names, all of whose pages make the list of URLs: it grows with the pages.
+LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+#: The name of a site in its host.
+_SITE = r"^(?:(?:www|m|blog)\.)?([^.]*)\."
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +43,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    site = F.regexp_replace(urls.host_of(F.col("url")), r"^(?:www|m|blog)\.", "")
-    listed = pages.where(site.isin(LISTED_SITES)).select("url")
+    listed = pages.where(F.regexp_extract(urls.host_of(F.col("url")), _SITE, 1).isin(LISTED_SITES)).select("url")
     return urls.judge_urls(pages, listed, RULES)
 
 
@@ -157,7 +151,7 @@ keyed AS (
   FROM parts),
 listed AS (
   SELECT DISTINCT key FROM keyed
-  WHERE regexp_replace(host, '^(?:www|m|blog)\\.', '') IN ({', '.join(f"'{s}'" for s in LISTED_SITES)}))
+  WHERE regexp_extract(host, '{_SITE}', 1) IN ({', '.join(f"'{s}'" for s in LISTED_SITES)}))
 SELECT page_id, host, path, {_RULE_SQL.format(*(r.text for r in RULES))} AS rule,
        coalesce({_RULE_SQL.format(*(r.verdict for r in RULES))}, CASE WHEN listed.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
        listed.key IS NOT NULL AS listed
