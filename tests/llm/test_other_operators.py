@@ -6,6 +6,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vitalcurve.llm import chat, neighbours, queries, urls, warc
 
@@ -152,16 +153,48 @@ def test_neighbours_edge_cases(spark):
     assert neighbours.nearest_neighbours(vectors.limit(0), vectors).count() == 0
 
 
-def test_neighbours_recall(spark):
-    vectors = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding")
+def test_neighbours_recall_with_several_lists(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     rows = sorted(vectors.collect())
-    exact = _exact([r.vec_id for r in rows], np.array([r.embedding for r in rows], float), range(0, len(rows), 50), 5)
+    exact = _exact([r.vec_id for r in rows], np.array([r.embedding for r in rows], float), [r.vec_id for r in rows if r.vec_id % 10 == 0], 5)
     found = {}
-    for r in neighbours.nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"), list_vectors=100).collect():
+    for r in neighbours.nearest_neighbours(vectors, vectors.where("vec_id % 10 = 0"), list_vectors=50).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(found[q] & set(v)) / 5 for q, v in exact.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("outliers", [100, 400])
+def test_every_query_gets_k_rows_also_far_from_the_bulk(spark, outliers):
+    rng = np.random.default_rng(outliers)
+    bulk = np.eye(16)[0] + rng.normal(scale=0.02, size=(3_000, 16))
+    far = rng.normal(size=(outliers, 16))
+    points = np.concatenate([bulk, far])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id bigint, embedding array<double>")
+    found = neighbours.nearest_neighbours(vectors, vectors, list_vectors=20).groupBy("query_id").count().collect()
+    assert len(found) == len(points) and {r["count"] for r in found} == {5}
+    few = vectors.where("vec_id < 4")
+    assert sorted(r["count"] for r in neighbours.nearest_neighbours(few, few, list_vectors=1).groupBy("query_id").count().collect()) == [3] * 4
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_url_list_is_made_of_the_pages(spark, scale):
+    folder = f"/root/testdata/{scale}"
+    names = set(queries.LISTED_SITES)
+    wanted = sum(bool(names & set(r.url.split("://")[1].split("/")[0].split("."))) for r in spark.read.parquet(f"{folder}/pages.parquet").collect())
+    assert queries.op2_url_filter(spark, folder).where("listed").count() >= wanted > 0
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from vitalcurve.llm.common import shared_dir
+
+    for master in ("yarn", "spark://host:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master)))
+    assert shared_dir(SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs://x/y"}, sparkContext=SimpleNamespace(master="yarn"))).startswith("hdfs://x/y/")
+
+
 def test_pipeline_equals_its_stages_in_plain_python(spark):
     import corpus_pipeline
     from vitalcurve.llm import simhash, substrings
@@ -192,3 +225,22 @@ def test_pipeline_equals_its_stages_in_plain_python(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     judged = dict(zip(texts, _plain_contamination(texts.values(), items, 13)))
     assert set(out) == {d for d in texts if not judged[d][3]}
+
+
+def test_pipeline_with_nulls_repeats_and_an_empty_table(spark):
+    import corpus_pipeline
+
+    good = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 400").limit(12)
+    odd = [(9_001, None), (9_002, ""), (9_003, " \n\t "), (9_004, "123 456"), (None, None)]
+    odd = spark.createDataFrame([(*r, "en", "s", 0) for r in odd], "doc_id bigint, text string, lang string, source string, n_chars bigint").select(good.columns)
+    docs = good.unionByName(odd).unionByName(good.limit(1)).withColumns({"score": F.lit("own"), "fingerprint": F.lit(1), "items": F.lit("own"), "component_id": F.lit(2)})
+    model_docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for rows in (docs, docs.limit(0)):
+        rows = rows.unionByName(model_docs.limit(0), allowMissingColumns=True)
+        for name, stage in corpus_pipeline.STAGES:
+            before, columns = rows.count(), rows.columns
+            rows = stage(spark, rows, SF) if name != "language" else corpus_pipeline.language.keep_identified(rows, corpus_pipeline.language.train(model_docs))
+            rows = corpus_pipeline.written(rows, name)
+            assert rows.count() <= before and (name == "byte_bpe" or rows.columns == columns)
+        assert not {r.doc_id for r in rows.select("doc_id").collect()} & {9_001, 9_002, 9_003, 9_004, None}
+    assert rows.count() == 0 and corpus_pipeline.drop_near_duplicates(spark, docs, SF).where("doc_id IS NULL").count() == 1

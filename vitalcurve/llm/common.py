@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,9 +29,16 @@ def visible_to_tasks(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset (tests, one machine), in a local temporary one."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, in a local temporary one.
+
+    The latter only where driver and tasks are one process: executors of a
+    cluster would each write to a disk of their own, so there the setting is
+    required (``ValueError``).
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = Path(tempfile.mkdtemp(prefix="vitalcurve-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
