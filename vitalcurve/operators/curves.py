@@ -24,6 +24,7 @@ from ..functions.columns import (
     require_columns,
     standard_error,
 )
+from .sketches import unit_count_states, unit_counts
 
 Wanted = Sequence | DataFrame | None
 
@@ -135,12 +136,16 @@ def median_survival(
     wanted: Wanted = None,
     threshold: float = 50.0,
     spec: PanelSpec = PANEL,
+    unit_bits: int | None = None,
 ) -> DataFrame:
     """First day on which the group mean is at or below the threshold, and the unit count.
 
     ``median_day`` is null for a group that stays above it; ``median_day_text``
     then reads "> Max Day". Groups without any mean are left out. Nulls are not
     dropped first: a null group is a row of its own, with 0 units.
+
+    ``unit_bits`` counts the units approximately, by sketches of that size (see
+    ``unit_count_states``): the exact count shuffles every (group, unit) pair.
     """
     require_columns(df, spec.unit, spec.time, spec.survival, group)
     rows = keep_groups(df, group, wanted).select(
@@ -154,12 +159,16 @@ def median_survival(
         F.min(F.when(F.col("m") <= threshold, F.col("t"))).alias("median_day"),
         F.min("m").alias("_lowest"),
     )
-    units = rows.groupBy(group).agg(
-        # A null unit counts as one value.
-        (
-            F.count_distinct(spec.unit) + F.max(F.col(spec.unit).isNull().cast("bigint"))
-        ).alias("_units")
-    )
+    if unit_bits is not None:
+        states = unit_count_states(rows, group, by_day=False, bits=unit_bits, spec=spec)
+        units = unit_counts(states, [group]).withColumnRenamed("n_units", "_units")
+    else:
+        units = rows.groupBy(group).agg(
+            # A null unit counts as one value.
+            (
+                F.count_distinct(spec.unit) + F.max(F.col(spec.unit).isNull().cast("bigint"))
+            ).alias("_units")
+        )
     day_text = F.when(F.col("_lowest") > threshold, C.NEVER_REACHED).otherwise(
         F.col("median_day").cast("string")
     )

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..contract import CRITICAL_DAY, PANEL, PanelSpec
 from ..functions.columns import is_finite, keep_groups
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, exact_quantiles_of
 from .reductions import metric_per_unit, steepest_decline_per_unit
+from .summaries import UnitSummary
 
 Wanted = Sequence | DataFrame | None
 
 
 def distribution_points(
-    df: DataFrame,
+    df: DataFrame | UnitSummary,
     metric: str,
     group: str,
     wanted: Wanted = None,
@@ -27,7 +28,7 @@ def distribution_points(
 
 
 def distribution_box(
-    df: DataFrame,
+    df: DataFrame | UnitSummary,
     metric: str,
     group: str,
     wanted: Wanted = None,
@@ -78,7 +79,7 @@ def distribution_histogram(
 
 
 def critical_period_stats(
-    df: DataFrame, group: str | None = None, spec: PanelSpec = PANEL
+    df: DataFrame | UnitSummary, group: str | None = None, spec: PanelSpec = PANEL
 ) -> DataFrame:
     """Mean, exact median and deviation of the steepest-decline day and size by group.
 
@@ -88,22 +89,15 @@ def critical_period_stats(
     units = steepest_decline_per_unit(df, group, spec).select(
         group, F.col(CRITICAL_DAY).cast("double").alias(CRITICAL_DAY), "max_decline"
     )
-    long = units.unpivot(group, [CRITICAL_DAY, "max_decline"], "_metric", "_value")
-    stats = exact_quantiles(long, [group, "_metric"], "_value", (0.5,))
-
-    def of(metric: str, column: str, name: str):
-        return F.max(F.when(F.col("_metric") == metric, F.col(column))).alias(name)
-
-    return (
-        stats.groupBy(group)
-        .agg(
-            of(CRITICAL_DAY, "n", "n_units"),
-            of(CRITICAL_DAY, "mean", "mean_critical_day"),
-            of(CRITICAL_DAY, "q0", "median_critical_day"),
-            of(CRITICAL_DAY, "sd", "sd_critical_day"),
-            of("max_decline", "mean", "mean_max_decline"),
-            of("max_decline", "q0", "median_max_decline"),
-            of("max_decline", "sd", "sd_max_decline"),
-        )
-        .orderBy(group)
-    )
+    stats = exact_quantiles_of(units, [group], [CRITICAL_DAY, "max_decline"], (0.5,))
+    day, size = F.col(CRITICAL_DAY), F.col("max_decline")
+    return stats.select(
+        group,
+        day["n"].alias("n_units"),
+        day["mean"].alias("mean_critical_day"),
+        day["q0"].alias("median_critical_day"),
+        day["sd"].alias("sd_critical_day"),
+        size["mean"].alias("mean_max_decline"),
+        size["q0"].alias("median_max_decline"),
+        size["sd"].alias("sd_max_decline"),
+    ).orderBy(group)

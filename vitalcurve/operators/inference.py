@@ -10,12 +10,13 @@ from ..contract import PANEL, PanelSpec
 from ..functions.columns import all_present, is_finite
 from ..functions.pvalues import fisher_f_upper, student_t_two_sided
 from .reductions import final_per_unit, metric_per_unit
+from .summaries import UnitSummary
 
 _INFINITY = float("inf")
 
 
 def welch_ttest(
-    df: DataFrame,
+    df: DataFrame | UnitSummary,
     stratum: str | None = None,
     factor: str | None = None,
     levels: tuple[str, str] = (C.HOUSED_TOGETHER, C.HOUSED_ALONE),
@@ -93,7 +94,7 @@ def welch_ttest(
 
 
 def one_way_anova(
-    df: DataFrame,
+    df: DataFrame | UnitSummary,
     metric: str = C.FINAL_SURVIVAL,
     group: str | None = None,
     with_p: bool = True,

@@ -2,11 +2,13 @@
 
 The built-in exact percentile keeps every distinct value of a group in one
 aggregation buffer. Here equal values are counted first, and every value gets an
-integer in the same order (the bits of the double). Counts are summed per high
-bits and per middle bits of that integer. A running sum over the high bits names
-the bucket that holds a wanted rank; inside it the middle bits, and inside those
-the low bits are searched the same way. Every step is a deterministic aggregate,
-so a lost task that runs again gives the same rows.
+integer in the same order (the bits of the double). The counted values are dealt
+out once by the high and middle bits, their sums by the high bits alone; a
+running sum over the high bits names the bucket that holds a wanted rank, and
+inside it the middle bits, and inside those the low bits are searched the same
+way, each on the table as it already lies. All measures, ranks and the moments
+come from that one count. Every step is a deterministic aggregate, so a lost
+task that runs again gives the same rows.
 """
 
 from __future__ import annotations
@@ -45,41 +47,50 @@ def ordered_bits(v: Column) -> Column:
     return F.when(v < 0, -size).otherwise(size)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    moments: bool = True,
-) -> DataFrame:
-    """Per key group: ``n``, ``low``, ``high``, ``mean``, ``sd`` and ``q0``, ``q1``, ... for ``probs``.
+def _base(high: Column) -> Column:
+    """A number no further from the values whose high bits these are than they are from one another; 0 for infinities."""
+    size = F.abs(high)
+    steps = 2 ** (52 - _HIGH)
+    power = F.floor(size / steps) - 1023
+    near = F.pow(F.lit(2.0), F.least(power, F.lit(1023))) * (1 + (size % steps) / steps)
+    return F.when(power > 1023, 0.0).otherwise(F.when(high < 0, -near).otherwise(near))
 
-    Quantiles interpolate linearly between the ranks next to ``p * (n - 1)``:
-    between a finite and an infinite value lies the infinite one, between
-    infinities of both signs NaN. Null and NaN values are left out, and so are
-    rows with a null key. ``moments=False`` leaves out mean and deviation.
+
+def _ranked(points: DataFrame, groups: list[str], measure: list[str], probs: Sequence[float]) -> DataFrame:
+    """One row per group, measure and wanted rank: n, low, high, mean, sd, ``_i`` and the value ``_v`` there.
+
+    ``_i`` numbers the ranks below (even) and above (odd) ``p * (n - 1)`` of each p.
     """
-    keys = list(keys)
-    v = F.col(value)
-    points = df.select(*keys, v.cast("double").alias("_v")).filter(
-        all_present([*keys, "_v"]) & ~F.isnan("_v")
-    )
-    bits = ordered_bits(F.col("_v"))
+    keys = [*groups, *measure]
+    # Known not to be null, or the joins below would filter their side and read a shuffle of their own.
+    bits = F.coalesce(ordered_bits(F.col("_v")), F.lit(0).cast("bigint"))
     counted = (
         points.groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumns({"_middle": F.shiftright(bits, _MIDDLE), "_high": F.shiftright(bits, _HIGH)})
+        .repartition(*keys, "_high", "_middle")
     )
-    totals = (F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_top").alias("_top"))
+    # Sums of differences from a number close by, so that squares lose nothing. One array, since both readers
+    # of the shuffle must ask for the same columns to share it; doubles hold the counts and bits exactly.
+    off = F.col("_v") - _base(F.col("_high"))
+    sums = (F.sum("_n").cast("double"), F.sum(F.col("_n") * off), F.sum(F.col("_n") * off * off), F.min("_v"), F.max("_v"))
     middles = (
-        counted.withColumns({"_low": F.col("_v"), "_top": F.col("_v")})
-        .groupBy(*keys, "_high", "_middle")
-        .agg(*totals)
+        counted.groupBy(*keys, "_high", "_middle")
+        .agg(F.array(*sums).alias("_sums"))
+        .select(*keys, "_high", F.concat("_sums", F.array(F.col("_middle").cast("double"))).alias("_sums"))
+        .repartition(*keys, "_high")
     )
-    highs = middles.groupBy(*keys, "_high").agg(*totals)
-
+    n_, off_, square_, low_, top_, middle_ = (F.col("_sums")[i] for i in range(6))
+    highs = middles.groupBy(*keys, "_high").agg(
+        F.sum(n_).cast("bigint").alias("_n"), F.sum(off_).alias("_off"), F.sum(square_).alias("_square"), F.min(low_).alias("_low"), F.max(top_).alias("_top")
+    )
+    # All measures of a group together, as the result wants them: some thousand rows each.
+    highs = highs.repartition(*groups)
+    middles = middles.select(*keys, "_high", middle_.cast("bigint").alias("_middle"), n_.cast("bigint").alias("_n"))
     group = Window.partitionBy(*keys)
-    n = F.col("n")
+    n, mean = F.col("n"), F.col("mean")
+    own_mean = _base(F.col("_high")) + F.col("_off") / F.col("_n")
+    inside = F.col("_square") - F.col("_off") * F.col("_off") / F.col("_n")
     ranks = [r for p in probs for r in (F.floor(p * (n - 1)), F.ceil(p * (n - 1)))]
     wanted = F.array(*(F.struct(F.lit(i).alias("i"), r.cast("bigint").alias("rank")) for i, r in enumerate(ranks)))
     found = (
@@ -89,33 +100,90 @@ def exact_quantiles(
                 "n": F.sum("_n").over(group),
                 "low": F.min("_low").over(group),
                 "high": F.max("_top").over(group),
+                "_total": F.sum(F.col("_n") * own_mean).over(group),
             }
         )
+        .withColumn("mean", F.col("_total") / n)
+        .withColumn("_squares", F.sum(inside + F.col("_n") * (own_mean - mean) * (own_mean - mean)).over(group))
+        .withColumn("sd", F.when(n > 1, F.sqrt(F.greatest(F.col("_squares"), F.lit(0.0)) / (n - 1))))
         .withColumn("_w", F.explode(wanted))
-        .select(*keys, "n", "low", "high", "_high", "_n", "_end", F.col("_w.i").alias("_i"), F.col("_w.rank").alias("_rank"))
+        .select(*keys, *_TOTALS, "_high", "_n", "_end", F.col("_w.i").alias("_i"), F.col("_w.rank").alias("_rank"))
     )
     found = _holding_the_rank(found)
-    carried = [*keys, "n", "low", "high", "_i"]
-    one_rank = Window.partitionBy(*keys, "_i")
     for table, narrowed, column in ((middles, ["_high"], "_middle"), (counted, ["_high", "_middle"], "_v")):
-        inside = table.select(*keys, *narrowed, column, "_n").join(found, [*keys, *narrowed])
-        inside = inside.withColumn("_end", F.sum("_n").over(_up_to_here(one_rank.orderBy(column))))
-        found = _holding_the_rank(inside.select(*carried, *dict.fromkeys([*narrowed, column]), "_n", "_end", "_rank"))
+        held = table.select(*keys, *narrowed, column, "_n").join(found, [*keys, *narrowed])
+        # The join leaves the rows of a bucket together, so the window needs no exchange.
+        along = Window.partitionBy(*keys, *narrowed, "_i").orderBy(column)
+        held = held.withColumn("_end", F.sum("_n").over(_up_to_here(along)))
+        found = _holding_the_rank(held.select(*keys, *_TOTALS, "_i", *narrowed, column, "_n", "_end", "_rank"))
+    return found.select(*keys, *_TOTALS, "_i", "_v")
 
-    wide = found.groupBy(*keys).agg(
-        *(F.max(c).alias(c) for c in ("n", "low", "high")),
-        *(F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"_x{i}") for i in range(len(ranks))),
+
+_TOTALS = ("n", "low", "high", "mean", "sd")
+
+
+def _mixed(n: Column, below: Column, above: Column, p: float) -> Column:
+    """The value at ``p * (n - 1)``, between those at the ranks next to it."""
+    weight = p * (n - 1) - F.floor(p * (n - 1))
+    return F.when((below == above) | (weight == 0), below).otherwise(below * (1 - weight) + above * weight)
+
+
+def exact_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    moments: bool = True,
+) -> DataFrame:
+    """Per key group: ``n``, ``low``, ``high``, ``mean``, ``sd`` and ``q0``, ``q1``, ... for ``probs``.
+
+    Quantiles interpolate linearly between the ranks next to ``p * (n - 1)``:
+    between a finite and an infinite value lies the infinite one, between
+    infinities of both signs NaN. Null and NaN values are left out, and so are
+    rows with a null key. ``moments=False`` leaves out mean and deviation.
+    """
+    keys = list(keys)
+    points = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
+        all_present([*keys, "_v"]) & ~F.isnan("_v")
+    )
+    wide = _ranked(points, keys, [], probs).groupBy(*keys).agg(
+        *(F.max(c).alias(c) for c in _TOTALS),
+        *(F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"_x{i}") for i in range(2 * len(probs))),
+    )
+    kept = [c for c in _TOTALS if moments or c not in ("mean", "sd")]
+    quantiles = [
+        _mixed(F.col("n"), F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}"), p).alias(f"q{i}") for i, p in enumerate(probs)
+    ]
+    return wide.select(*keys, *kept, *quantiles)
+
+
+def exact_quantiles_of(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], probs: Sequence[float]
+) -> DataFrame:
+    """As ``exact_quantiles`` for several measures in one search: a struct column for each, with the fields it gives.
+
+    A group in which a measure has no value has a null struct.
+    """
+    keys, values = list(keys), list(values)
+    numbered = F.array(*(F.struct(F.lit(m).alias("m"), F.col(v).cast("double").alias("v")) for m, v in enumerate(values)))
+    points = df.select(*keys, F.explode(numbered).alias("_p")).select(*keys, F.col("_p.m").alias("_m"), F.col("_p.v").alias("_v"))
+    points = points.filter(all_present([*keys, "_v"]) & ~F.isnan("_v"))
+
+    def of(m: int, c: str, i: int | None = None) -> Column:
+        here = F.col("_m") == m
+        return F.max(F.when(here if i is None else here & (F.col("_i") == i), F.col(c)))
+
+    wide = _ranked(points, keys, ["_m"], probs).groupBy(*keys).agg(
+        *(of(m, c).alias(f"_{c}{m}") for m in range(len(values)) for c in _TOTALS),
+        *(of(m, "_v", i).alias(f"_x{m}_{i}") for m in range(len(values)) for i in range(2 * len(probs))),
     )
-    quantiles = []
-    for i, p in enumerate(probs):
-        below, above = F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}")
-        weight = p * (n - 1) - F.floor(p * (n - 1))
-        mixed = below * (1 - weight) + above * weight
-        quantiles.append(F.when((below == above) | (weight == 0), below).otherwise(mixed).alias(f"q{i}"))
-    if not moments:
-        return wide.select(*keys, "n", "low", "high", *quantiles)
-    spread = points.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"))
-    return wide.join(spread, keys).select(*keys, "n", "low", "high", "mean", "sd", *quantiles)
+
+    def summary(m: int) -> Column:
+        n = F.col(f"_n{m}")
+        quantiles = [_mixed(n, F.col(f"_x{m}_{2 * i}"), F.col(f"_x{m}_{2 * i + 1}"), p).alias(f"q{i}") for i, p in enumerate(probs)]
+        return F.when(n.isNotNull(), F.struct(*(F.col(f"_{c}{m}").alias(c) for c in _TOTALS), *quantiles))
+
+    return wide.select(*keys, *(summary(m).alias(v) for m, v in enumerate(values)))
 
 
 def _up_to_here(window):

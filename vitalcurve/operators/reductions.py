@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import contract as C
 from ..contract import PANEL, PanelSpec
 from ..functions.columns import all_present, as_double, as_long, as_text, require_columns
+from .summaries import UnitSummary
 
 
 def _first_row(time: Column, *fields: Column) -> Column:
@@ -23,7 +24,7 @@ def _first_row(time: Column, *fields: Column) -> Column:
 
 
 def final_per_unit(
-    df: DataFrame,
+    df: DataFrame | UnitSummary,
     groups: Sequence[str],
     spec: PanelSpec = PANEL,
     value: str | None = None,
@@ -34,6 +35,10 @@ def final_per_unit(
 
     Where the last day occurs twice the greater value wins.
     """
+    if isinstance(df, UnitSummary):
+        if value not in (None, df.spec.survival):
+            raise ValueError("a summary has the final survival alone")
+        return df.final(groups, name, with_time)
     value = value or spec.survival
     require_columns(df, spec.unit, spec.time, value, *groups)
     t = as_long(df, spec.time)
@@ -51,13 +56,15 @@ def final_per_unit(
 
 
 def steepest_decline_per_unit(
-    df: DataFrame, group: str, spec: PanelSpec = PANEL
+    df: DataFrame | UnitSummary, group: str, spec: PanelSpec = PANEL
 ) -> DataFrame:
     """Day and size of the most negative change of each unit, and its first group.
 
     Rows with a null in unit, group, day or change are left out first. Of equal
     declines the earliest day wins; NaN is greater than every number.
     """
+    if isinstance(df, UnitSummary):
+        return df.decline(group)
     require_columns(df, spec.unit, group, spec.time, spec.change)
     rows = df.select(
         F.col(spec.unit),
@@ -107,7 +114,7 @@ def first_metric_per_unit(
 
 
 def metric_per_unit(
-    df: DataFrame, metric: str, group: str, spec: PanelSpec = PANEL
+    df: DataFrame | UnitSummary, metric: str, group: str, spec: PanelSpec = PANEL
 ) -> DataFrame:
     """(unit, metric, group) with nulls dropped.
 
@@ -118,6 +125,8 @@ def metric_per_unit(
         points = final_per_unit(df, [group], spec)
     elif metric == C.CRITICAL_DAY:
         points = steepest_decline_per_unit(df, group, spec).drop("max_decline")
+    elif isinstance(df, UnitSummary):
+        raise ValueError(f"a summary has {C.FINAL_SURVIVAL!r} and {C.CRITICAL_DAY!r} alone")
     else:
         points = first_metric_per_unit(df, metric, group, spec)
     return points.filter(all_present([metric, group]))
