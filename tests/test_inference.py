@@ -4,6 +4,7 @@ import statistics
 import pytest
 
 import vitalcurve as vc
+from vitalcurve.functions import pvalues
 from vitalcurve.functions.pvalues import regularized_beta
 
 
@@ -47,6 +48,39 @@ def test_tails_of_many_degrees_reach_the_normal(dof):
     assert f_tail(3.0, 2, dof) == pytest.approx(math.exp(-dof / 2 * math.log1p(6 / dof)), rel=1e-7)
 
 
+def _near_normal(t, dof):
+    """The two-sided tail of t for many degrees of freedom, to terms of 1 / dof ** 2."""
+    density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    first, second = t * (t * t + 1) / 4, t * (3 * t**6 - 7 * t**4 - 5 * t * t - 3) / 96
+    return math.erfc(t / math.sqrt(2)) + 2 * density * (first / dof + second / dof**2)
+
+
+@pytest.mark.parametrize("dof", [1e5, 1e6, 1e7, 1e8, 1e9, 1e10, 1e11, 1e12, 1e13, 1e14])
+def test_tails_agree_with_the_normal_limit(dof):
+    for t in (0.0, 1e-6, 0.1, 1.0, 2.0, 3.0):
+        assert t_tail(t, dof) == pytest.approx(_near_normal(t, dof), rel=1e-9)
+    assert t_tail(60.0, dof) == 0.0
+    # F with an even number of numerator degrees tends to a finite sum, off by some 1 / dof
+    for d1, f in ((2, 0.1), (2, 3.0), (4, 2.5), (10, 1.8)):
+        half = d1 * f / 2
+        limit = math.exp(-half) * sum(half**k / math.factorial(k) for k in range(d1 // 2))
+        assert f_tail(f, d1, dof) == pytest.approx(limit, abs=1e-9 + 10 / dof)
+
+
+def test_quadrature_meets_the_fraction(monkeypatch):
+    """Both ways give the same on either side of the parameter where one hands over to the other."""
+    cases = [(9_999, 0.5, 0.9995), (9_000, 3_000, 0.76), (9_000, 3_000, 0.74), (500, 9_000, 0.05), (9_999, 9_999, 0.49), (3, 9_999, 3e-4), (0.5, 9_000, 1e-4), (30, 20, 0.7), (2, 40, 0.1)]
+    for a, b, x in cases:
+        monkeypatch.setattr(pvalues, "_LARGE", 1e9)
+        fraction = regularized_beta(a, b, x, 1 - x)
+        monkeypatch.setattr(pvalues, "_LARGE", 0.0)
+        assert regularized_beta(a, b, x, 1 - x) == pytest.approx(fraction, rel=1e-10)
+    for n in (1e6, 1e10):
+        assert regularized_beta(n, n, 0.5, 0.5) == pytest.approx(0.5, rel=1e-12)
+        x = 1.001 * 3 / n
+        assert regularized_beta(3e4, n, x, 1 - x) + regularized_beta(n, 3e4, 1 - x, x) == pytest.approx(1.0, rel=1e-12)
+
+
 def test_welch(panel):
     a, b = [10.0, 12.0, 17.0, 11.0], [20.0, 25.0, 19.0]
     (r,) = welch(panel, a, b)
