@@ -149,3 +149,36 @@ def test_column_pruning_reaches_the_scan(spark, tmp_path, small_panel):
     schema = plan.split("ReadSchema: ")[1].splitlines()[0]
     assert schema.count(":") == 3
     assert "EqualTo(density_category,low)" in plan or "In(density_category, [low])" in plan
+
+
+def test_lost_cells_are_counted_in_the_same_pass(spark, csv):
+    from pyspark.sql import Observation
+
+    wanted = {"days_since_fertilization": (4, 2), "initial_count": (4, 1), "survival_rate": (4, 2), "genotype": (3, 0), "cross_id": (4, 0), "in_beaker": (3, 0)}
+    assert {r["column"]: (r.known, r.lost) for r in vc.conversion_faults(csv).collect()} == wanted
+    faults = Observation("faults")
+    panel = vc.standardise_panel(csv, faults=faults)
+    assert panel.count() == 4
+    assert faults.get == {"rows": 4} | {c: lost for c, (_, lost) in wanted.items()}
+    # columns that have their type already lose nothing, dates in a number column all
+    typed = spark.sql("SELECT 1.5D AS survival_rate, 2 AS remaining, 3L AS initial_count, double('NaN') AS fish_deaths, DATE'2024-01-01' AS max_decline, 4 AS other")
+    assert {r["column"]: (r.known, r.lost) for r in vc.conversion_faults(typed).collect()} == {
+        "survival_rate": (1, 0), "remaining": (1, 0), "initial_count": (1, 0), "fish_deaths": (1, 1), "max_decline": (1, 1)
+    }
+    assert vc.conversion_faults(typed.select("other")).count() == 0
+    assert {r.lost for r in vc.conversion_faults(csv.limit(0)).collect()} == {0}
+
+
+def test_group_options_of_many_values(spark):
+    values = [f"{(i * 7919) % 100_003:x} é" for i in range(100_000)]
+    df = spark.createDataFrame([(v,) for v in values + values[:999] + [None]], "g string").repartition(5)
+    options = vc.group_options(df, "g")
+    plan = options._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" not in plan
+    rows = options.collect()
+    assert [r.g for r in rows] == sorted(set(values), key=lambda v: v.encode()) and [r.ordinal for r in rows] == list(range(100_000))
+    final = options._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+    for n in (0, 1, 3):
+        assert [tuple(r) for r in vc.group_options(df.limit(0).union(spark.createDataFrame([(str(i),) for i in range(n)], "g string")), "g").collect()] == [(str(i), i) for i in range(n)]
+    assert vc.group_options(df, "g", ranges=1).agg({"ordinal": "max"}).first()[0] == 99_999

@@ -4,21 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..contract import PANEL, SIGNIFICANCE_LEVEL, PanelSpec
 from ..functions.columns import as_text, require_columns
 
+# Parts that the values of a group column are sorted in, and the bits of a row's place in its partition.
+_RANGES = 64
+_PLACE_BITS = 33
 
-def group_options(df: DataFrame, group: str) -> DataFrame:
-    """Distinct known values of a group column as sorted text, numbered from 0."""
+
+def group_options(df: DataFrame, group: str, ranges: int = _RANGES) -> DataFrame:
+    """Distinct known values of a group column as sorted text, numbered from 0.
+
+    The values are sorted in ``ranges`` parts, each in a task of its own; a
+    value's number is its place in its part after the values of the parts
+    before. The parts are counted from the same shuffle. A part that the count
+    does not fit (a session that reads the shuffle anew for it) raises an error.
+    """
     require_columns(df, group)
     values = df.select(as_text(df, group).alias(group)).filter(F.col(group).isNotNull()).distinct()
-    # Numbered after the distinct: one row per value.
-    order = Window.partitionBy(F.lit(0)).orderBy(group)
-    return values.withColumn("ordinal", (F.row_number().over(order) - 1)).orderBy(group)
+    placed = values.repartitionByRange(ranges, group).sortWithinPartitions(group).withColumn("_id", F.monotonically_increasing_id())
+    part, place = F.shiftright("_id", _PLACE_BITS), F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    counts = placed.groupBy(part.alias("_of")).agg(F.count(F.lit(1)).alias("_n"), F.min(group).alias("_low"), F.max(group).alias("_high"))
+    # Each part's count goes to all parts behind it: ``ranges`` squared short rows at most.
+    behind = counts.withColumn("_part", F.explode(F.sequence(F.col("_of"), F.lit(ranges - 1).cast("bigint"))))
+    own = F.col("_of") == F.col("_part")
+    parts = behind.groupBy("_part").agg(
+        F.sum(F.when(own, 0).otherwise(F.col("_n"))).alias("_before"),
+        *(F.max(F.when(own, F.col(c))).alias(c) for c in ("_n", "_low", "_high")),
+    )
+    fits = (F.col("_place") < F.col("_n")) & F.col(group).between(F.col("_low"), F.col("_high"))
+    number = F.when(fits, F.col("_before") + F.col("_place")).otherwise(F.raise_error(F.lit("the parts were not read from the shuffle that was counted")))
+    return (
+        placed.select(group, part.alias("_part"), place.alias("_place"))
+        .join(parts, "_part")
+        .select(group, number.cast("int").alias("ordinal"))
+        .orderBy(group)
+    )
 
 
 def stats_table(

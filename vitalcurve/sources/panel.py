@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import contract as C
 from ..functions.columns import as_double, as_long, as_text
@@ -40,16 +41,55 @@ def missing_columns(df: DataFrame) -> list[str]:
     return [n for n in expected if n not in df.columns]
 
 
-def standardise_panel(df: DataFrame, unit_type: str | None = None) -> DataFrame:
+def _casts(df: DataFrame) -> dict[str, Column]:
+    """The contract columns that the table has, brought to their types."""
+    casts = {n: as_text(df, n) for n in C.TEXT_COLUMNS if n in df.columns}
+    casts |= {n: as_double(df, n) for n in C.DOUBLE_COLUMNS if n in df.columns}
+    return casts | {n: as_long(df, n) for n in C.LONG_COLUMNS if n in df.columns}
+
+
+def _lost(df: DataFrame) -> dict[str, Column]:
+    """For each contract column whether a cell has a value that does not fit its type."""
+    return {
+        n: F.lit(False) if _is_kept(df, n) else F.col(n).isNotNull() & cast.isNull() for n, cast in _casts(df).items()
+    }
+
+
+def _is_kept(df: DataFrame, name: str) -> bool:
+    dtype = df.schema[name].dataType
+    if name in C.TEXT_COLUMNS:
+        return True
+    return isinstance(dtype, T.IntegralType) or (name in C.DOUBLE_COLUMNS and isinstance(dtype, T.NumericType))
+
+
+def conversion_faults(df: DataFrame) -> DataFrame:
+    """Per contract column of a table as read: ``known`` cells, and those that standardising turns into null, ``lost``.
+
+    Sorted by column name, one row for each column that the table has; a table
+    without contract columns gives no row.
+    """
+    lost = _lost(df)
+    if not lost:
+        return df.sparkSession.createDataFrame([], "column string, known bigint, lost bigint")
+    counts = [F.struct(F.lit(n).alias("column"), F.count(F.col(n)).alias("known"), F.count_if(gone).alias("lost")) for n, gone in sorted(lost.items())]
+    return df.agg(F.array(*counts).alias("_columns")).select(F.inline("_columns"))
+
+
+def standardise_panel(df: DataFrame, unit_type: str | None = None, faults: Observation | None = None) -> DataFrame:
     """Cast the contract columns and derive the two group columns if absent.
 
     Values that do not fit their type become null. The unit key stays as read
     unless ``unit_type`` names a type. Other columns pass through. The result is
     one lazy projection, so filters and column pruning reach the scan.
+
+    ``faults`` counts what is lost in the same pass: once an action on the result
+    has run, ``faults.get`` holds ``rows`` and, for each contract column, the
+    cells of it that became null. The scan then reads all contract columns.
+    Without an action of its own, ``conversion_faults`` gives the same as a table.
     """
-    casts = {n: as_text(df, n) for n in C.TEXT_COLUMNS if n in df.columns}
-    casts |= {n: as_double(df, n) for n in C.DOUBLE_COLUMNS if n in df.columns}
-    casts |= {n: as_long(df, n) for n in C.LONG_COLUMNS if n in df.columns}
+    if faults is not None:
+        df = df.observe(faults, F.count(F.lit(1)).alias("rows"), *(F.count_if(gone).alias(n) for n, gone in _lost(df).items()))
+    casts = _casts(df)
     if unit_type and C.PANEL.unit in df.columns:
         casts[C.PANEL.unit] = F.col(C.PANEL.unit).try_cast(unit_type)
     out = df.withColumns(casts) if casts else df
