@@ -1,4 +1,5 @@
 import math
+import re
 import random
 
 import pytest
@@ -147,6 +148,39 @@ def test_hazard_with_ties(spark):
     assert tied[0].label == "Dish - low"
 
 
+@pytest.mark.parametrize("ties", ["fleming_harrington", "plain"])
+def test_hazard_by_ranges_of_time_equals_that_in_one(spark, small_dirty_panel, ties):
+    weighted = vc.individuals_weighted(small_dirty_panel).cache()
+    whole = vc.nelson_aalen(weighted, confidence=True, ties=ties).collect()
+    for block in (0.5, 1, 7, 1_000):
+        parts = vc.nelson_aalen(weighted, confidence=True, ties=ties, time_block=block).collect()
+        assert [r[:6] for r in parts] == [r[:6] for r in whole]
+        for a, b in zip(parts, whole):
+            assert list(a[6:]) == [pytest.approx(x, rel=1e-12) for x in b[6:]]
+
+
+def test_a_fine_time_axis_is_in_many_tasks(spark):
+    """300,000 distinct times of one group: no task holds more than some ranges of them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 300_000
+        events = spark.range(n).select(
+            F.lit("Dish").alias("housing_type"), F.lit("low").alias("density_category"), (F.col("id") * 3 + 5).alias("time"),
+            F.lit(1).cast("bigint").alias("deaths"), F.lit(0).cast("bigint").alias("censored"),
+        )
+        curve = vc.nelson_aalen(events, time_block=3_000)
+        # every window is over a range, or over the table of one row per range
+        plan = curve._jdf.queryExecution().executedPlan().toString()
+        along_time = [w for w in re.findall(r"windowspecdefinition\(([^()]*)specifiedwindowframe", plan) if "time" in w]
+        assert along_time and all("_range" in w for w in along_time)
+        rows = curve.agg(F.count("*").alias("n"), F.max("hazard").alias("hazard"), F.max("at_risk").alias("at_risk"), F.max("variance").alias("variance")).first()
+        assert rows.n == n + 1 and rows.at_risk == n
+        assert rows.hazard == pytest.approx(math.fsum(1 / k for k in range(1, n + 1)), rel=1e-12)
+        assert rows.variance == pytest.approx(math.fsum(1 / k**2 for k in range(1, n + 1)), rel=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_hazard_interval(spark):
     df = events(spark, (1, 0), (2, 1), (3, 1), (4, 0))
     rows = {r.time: r for r in vc.nelson_aalen(df, confidence=True).collect()}
@@ -165,7 +199,7 @@ def test_hazard_arguments(spark):
     df = events(spark, (1, 1))
     assert vc.nelson_aalen(df, housings=[]).count() == 0
     assert vc.nelson_aalen(df, densities=["low"]).count() == 2
-    for bad in ({"ties": "x"}, {"alpha": 0.0}):
+    for bad in ({"ties": "x"}, {"alpha": 0.0}, {"time_block": 0}):
         with pytest.raises(ValueError):
             vc.nelson_aalen(df, **bad)
 
