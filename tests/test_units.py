@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import vitalcurve as vc
-from vitalcurve.operators.quantiles import ordered_bits
+from vitalcurve.operators.quantiles import with_ordered_bits
 
 
 def by_unit(df):
@@ -156,7 +156,7 @@ def test_bits_are_in_the_order_of_doubles(spark):
     sizes = {5e-324, 2.0**-1022, math.nextafter(2.0**-1022, 0.0), 1.7976931348623157e308, math.inf, 0.1}
     sizes |= {x for e in range(-1073, 1024) for x in (2.0**e, math.nextafter(2.0**e, 0.0), math.nextafter(2.0**e, math.inf))}
     values = sorted({-x for x in sizes} | {0.0} | sizes)
-    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered_bits(F.col("v")).alias("b"))
+    df = with_ordered_bits(spark.createDataFrame([(v,) for v in values], "v double"), "v", "b")
     assert {r.v: r.b for r in df.collect()} == {v: bits_of(v) for v in values}
 
 

@@ -23,37 +23,38 @@ from ..functions.columns import all_present
 # Bits below the middle part and below the high part: no window sorts more than 2^20
 # rows of one rank, and the first one at most 4,096 for each power of two in the group.
 _MIDDLE, _HIGH = 20, 40
-_LEAST_NORMAL = 2.0**-1022
-
-
-def ordered_bits(v: Column) -> Column:
-    """A bigint for each double (not NaN), in the order of the doubles; 0 for both zeros."""
-    m = F.abs(v)
-    guess = F.floor(F.log2(m)).cast("int")
-    # A logarithm next to a power of two may be rounded over it.
-    power = (
-        F.when(F.pow(F.lit(2.0), guess) > m, guess - 1)
-        .when(F.pow(F.lit(2.0), guess + 1) <= m, guess + 1)
-        .otherwise(guess)
-    )
-    fraction = (m / F.pow(F.lit(2.0), power) - 1.0) * F.lit(2.0**52)
-    step = F.lit(2**52).cast("bigint")
-    size = (
-        F.when(m == 0.0, F.lit(0).cast("bigint"))
-        .when(m == F.lit(float("inf")), F.lit(2047).cast("bigint") * step)
-        .when(m < _LEAST_NORMAL, (m * 2.0**537 * 2.0**537).cast("bigint"))
-        .otherwise((power + 1023).cast("bigint") * step + fraction.cast("bigint"))
-    )
-    return F.when(v < 0, -size).otherwise(size)
+_TOTALS = ("n", "low", "high", "mean", "sd")
+
 
+def with_ordered_bits(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with a bigint ``name`` for each double ``value`` (not NaN), in the order of the doubles; 0 for both zeros.
 
-def _base(high: Column) -> Column:
-    """A number no further from the values whose high bits these are than they are from one another; 0 for infinities."""
-    size = F.abs(high)
-    steps = 2 ** (52 - _HIGH)
-    power = F.floor(size / steps) - 1023
-    near = F.pow(F.lit(2.0), F.least(power, F.lit(1023))) * (1 + (size % steps) / steps)
-    return F.when(power > 1023, 0.0).otherwise(F.when(high < 0, -near).otherwise(near))
+    Built up in columns of its own, each written once: as one expression it
+    would hold itself dozens of times over.
+    """
+    steps = {
+        "_size": f"abs({value})",
+        "_guess": "try_cast(floor(log2(_size)) AS INT)",
+        # A logarithm next to a power of two may be rounded over it.
+        "_power": "CASE WHEN pow(2D, _guess) > _size THEN _guess - 1 WHEN pow(2D, _guess + 1) <= _size THEN _guess + 1 ELSE _guess END",
+        "_magnitude": f"""CASE WHEN _size = 0 THEN 0L
+          WHEN _size = double('Infinity') THEN 2047 * {1 << 52}L
+          WHEN _size < pow(2D, -1022) THEN CAST(_size * pow(2D, 537) * pow(2D, 537) AS BIGINT)
+          ELSE (_power + 1023) * {1 << 52}L + CAST((_size / pow(2D, _power) - 1) * pow(2D, 52) AS BIGINT) END""",
+        # Known not to be null, or joins on it would filter their sides and read shuffles of their own.
+        name: f"coalesce(CASE WHEN {value} < 0 THEN -_magnitude ELSE _magnitude END, 0L)",
+    }
+    for new, sql in steps.items():
+        df = df.withColumn(new, F.expr(sql))
+    return df.drop(*(c for c in steps if c != name))
+
+
+def _with_base(df: DataFrame) -> DataFrame:
+    """``_base``: a number no further from the values whose bits begin with ``_high`` than they are from one another; 0 for infinities."""
+    steps = 1 << (52 - _HIGH)
+    power = f"(floor(abs(_high) / {steps}) - 1023)"
+    base = f"CASE WHEN {power} > 1023 THEN 0D ELSE signum(_high) * pow(2D, {power}) * (1 + (abs(_high) % {steps}) / {steps}) END"
+    return df.withColumn("_base", F.expr(base))
 
 
 def _ranked(points: DataFrame, groups: list[str], measure: list[str], probs: Sequence[float]) -> DataFrame:
@@ -62,66 +63,57 @@ def _ranked(points: DataFrame, groups: list[str], measure: list[str], probs: Seq
     ``_i`` numbers the ranks below (even) and above (odd) ``p * (n - 1)`` of each p.
     """
     keys = [*groups, *measure]
-    # Known not to be null, or the joins below would filter their side and read a shuffle of their own.
-    bits = F.coalesce(ordered_bits(F.col("_v")), F.lit(0).cast("bigint"))
-    counted = (
-        points.groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns({"_middle": F.shiftright(bits, _MIDDLE), "_high": F.shiftright(bits, _HIGH)})
-        .repartition(*keys, "_high", "_middle")
-    )
+    counted = with_ordered_bits(points.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), "_v", "_bits")
+    counted = counted.select(
+        *keys, "_v", "_n", F.expr(f"shiftright(_bits, {_MIDDLE})").alias("_middle"), F.expr(f"shiftright(_bits, {_HIGH})").alias("_high")
+    ).repartition(*keys, "_high", "_middle")
     # Sums of differences from a number close by, so that squares lose nothing. One array, since both readers
     # of the shuffle must ask for the same columns to share it; doubles hold the counts and bits exactly.
-    off = F.col("_v") - _base(F.col("_high"))
-    sums = (F.sum("_n").cast("double"), F.sum(F.col("_n") * off), F.sum(F.col("_n") * off * off), F.min("_v"), F.max("_v"))
-    middles = (
-        counted.groupBy(*keys, "_high", "_middle")
-        .agg(F.array(*sums).alias("_sums"))
-        .select(*keys, "_high", F.concat("_sums", F.array(F.col("_middle").cast("double"))).alias("_sums"))
-        .repartition(*keys, "_high")
-    )
-    n_, off_, square_, low_, top_, middle_ = (F.col("_sums")[i] for i in range(6))
-    highs = middles.groupBy(*keys, "_high").agg(
-        F.sum(n_).cast("bigint").alias("_n"), F.sum(off_).alias("_off"), F.sum(square_).alias("_square"), F.min(low_).alias("_low"), F.max(top_).alias("_top")
-    )
+    off = "(_v - _base)"
+    sums = F.expr(f"array(CAST(sum(_n) AS DOUBLE), sum(_n * {off}), sum(_n * {off} * {off}), min(_v), max(_v), CAST(first(_middle) AS DOUBLE))")
+    cells = _with_base(counted).groupBy(*keys, "_high", "_middle").agg(sums.alias("_sums")).select(*keys, "_high", "_sums").repartition(*keys, "_high")
     # All measures of a group together, as the result wants them: some thousand rows each.
-    highs = highs.repartition(*groups)
-    middles = middles.select(*keys, "_high", middle_.cast("bigint").alias("_middle"), n_.cast("bigint").alias("_n"))
+    highs = _with_base(
+        cells.groupBy(*keys, "_high")
+        .agg(
+            F.expr("CAST(sum(_sums[0]) AS BIGINT)").alias("_n"),
+            F.expr("sum(_sums[1])").alias("_off"),
+            F.expr("sum(_sums[2])").alias("_square"),
+            F.expr("min(_sums[3])").alias("_low"),
+            F.expr("max(_sums[4])").alias("_top"),
+        )
+        .repartition(*groups)
+    )
+    middles = cells.select(*keys, "_high", F.expr("CAST(_sums[5] AS BIGINT)").alias("_middle"), F.expr("CAST(_sums[0] AS BIGINT)").alias("_n"))
+
     group = Window.partitionBy(*keys)
-    n, mean = F.col("n"), F.col("mean")
-    own_mean = _base(F.col("_high")) + F.col("_off") / F.col("_n")
-    inside = F.col("_square") - F.col("_off") * F.col("_off") / F.col("_n")
-    ranks = [r for p in probs for r in (F.floor(p * (n - 1)), F.ceil(p * (n - 1)))]
-    wanted = F.array(*(F.struct(F.lit(i).alias("i"), r.cast("bigint").alias("rank")) for i, r in enumerate(ranks)))
+    ranks = ", ".join(f"struct({2 * i} AS i, CAST(floor({p!r}D * (n - 1)) AS BIGINT) AS rank), struct({2 * i + 1} AS i, CAST(ceil({p!r}D * (n - 1)) AS BIGINT) AS rank)" for i, p in enumerate(probs))
     found = (
         highs.withColumns(
             {
+                "_mean": F.expr("_base + _off / _n"),
                 "_end": F.sum("_n").over(_up_to_here(group.orderBy("_high"))),
                 "n": F.sum("_n").over(group),
                 "low": F.min("_low").over(group),
                 "high": F.max("_top").over(group),
-                "_total": F.sum(F.col("_n") * own_mean).over(group),
             }
         )
-        .withColumn("mean", F.col("_total") / n)
-        .withColumn("_squares", F.sum(inside + F.col("_n") * (own_mean - mean) * (own_mean - mean)).over(group))
-        .withColumn("sd", F.when(n > 1, F.sqrt(F.greatest(F.col("_squares"), F.lit(0.0)) / (n - 1))))
-        .withColumn("_w", F.explode(wanted))
-        .select(*keys, *_TOTALS, "_high", "_n", "_end", F.col("_w.i").alias("_i"), F.col("_w.rank").alias("_rank"))
+        .withColumn("mean", F.sum(F.expr("_n * _mean / n")).over(group))
+        .withColumn("_squares", F.sum(F.expr("_square - _off * _off / _n + _n * (_mean - mean) * (_mean - mean)")).over(group))
+        .select(
+            *keys, "n", "low", "high", "mean", F.expr("CASE WHEN n > 1 THEN sqrt(greatest(_squares, 0D) / (n - 1)) END").alias("sd"),
+            "_high", "_n", "_end", F.expr(f"inline(array({ranks}))").alias("_i", "_rank"),
+        )
     )
     found = _holding_the_rank(found)
     for table, narrowed, column in ((middles, ["_high"], "_middle"), (counted, ["_high", "_middle"], "_v")):
-        held = table.select(*keys, *narrowed, column, "_n").join(found, [*keys, *narrowed])
         # The join leaves the rows of a bucket together, so the window needs no exchange.
         along = Window.partitionBy(*keys, *narrowed, "_i").orderBy(column)
-        held = held.withColumn("_end", F.sum("_n").over(_up_to_here(along)))
-        found = _holding_the_rank(held.select(*keys, *_TOTALS, "_i", *narrowed, column, "_n", "_end", "_rank"))
+        held = table.join(found, [*keys, *narrowed]).withColumn("_end", F.sum("_n").over(_up_to_here(along)))
+        found = _holding_the_rank(held)
     return found.select(*keys, *_TOTALS, "_i", "_v")
 
 
-_TOTALS = ("n", "low", "high", "mean", "sd")
-
-
 def _mixed(n: Column, below: Column, above: Column, p: float) -> Column:
     """The value at ``p * (n - 1)``, between those at the ranks next to it."""
     weight = p * (n - 1) - F.floor(p * (n - 1))
@@ -148,7 +140,7 @@ def exact_quantiles(
     )
     wide = _ranked(points, keys, [], probs).groupBy(*keys).agg(
         *(F.max(c).alias(c) for c in _TOTALS),
-        *(F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"_x{i}") for i in range(2 * len(probs))),
+        *(F.expr(f"max(CASE WHEN _i = {i} THEN _v END)").alias(f"_x{i}") for i in range(2 * len(probs))),
     )
     kept = [c for c in _TOTALS if moments or c not in ("mean", "sd")]
     quantiles = [
@@ -170,8 +162,7 @@ def exact_quantiles_of(
     points = points.filter(all_present([*keys, "_v"]) & ~F.isnan("_v"))
 
     def of(m: int, c: str, i: int | None = None) -> Column:
-        here = F.col("_m") == m
-        return F.max(F.when(here if i is None else here & (F.col("_i") == i), F.col(c)))
+        return F.expr(f"max(CASE WHEN _m = {m}{'' if i is None else f' AND _i = {i}'} THEN {c} END)")
 
     wide = _ranked(points, keys, ["_m"], probs).groupBy(*keys).agg(
         *(of(m, c).alias(f"_{c}{m}") for m in range(len(values)) for c in _TOTALS),
@@ -192,6 +183,5 @@ def _up_to_here(window):
 
 def _holding_the_rank(rows: DataFrame) -> DataFrame:
     """The rows that the 0-based rank falls on, with the rank counted from the start of each."""
-    start = F.col("_end") - F.col("_n")
-    held = rows.filter((F.col("_rank") >= start) & (F.col("_rank") < F.col("_end")))
-    return held.withColumn("_rank", F.col("_rank") - start).drop("_n", "_end")
+    held = rows.filter("_rank >= _end - _n AND _rank < _end")
+    return held.withColumn("_rank", F.expr("_rank - (_end - _n)")).drop("_n", "_end")
