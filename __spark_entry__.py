@@ -11,6 +11,7 @@ such as 25/128, would otherwise go up or down by its last bit.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -74,6 +75,38 @@ _LOW_THRESHOLD = 20.0
 _GROUP_NAMES = {"density_category": "density", "housing": "housing"}
 
 
+def _quantiles_within_error(panel: DataFrame) -> DataFrame:
+    """Sketches by group and day, merged over the days; the ranks of their quantiles counted on all rows.
+
+    One quantile in a hundred may miss the stated error, so three times as much is allowed.
+    """
+    group, value, probs = "density_category", "survival_rate", (0.05, 0.25, 0.5, 0.75, 0.95)
+    states = vc.merge_quantile_states(vc.quantile_states(panel, [group, _DAY], value), [group])
+    found = vc.quantiles_of_states(states, [group], probs)
+    rows = panel.select(group, F.col(value).alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)").join(found, group)
+    error = 3 * vc.quantile_rank_error()
+    ranks = [(F.avg((F.col("_v") < F.col(q)).cast("int")), F.avg((F.col("_v") <= F.col(q)).cast("int"))) for q in (f"q{i}" for i in range(len(probs)))]
+    inside = F.lit(True)
+    for p, (below, up_to) in zip(probs, ranks):
+        inside = inside & (below <= p + error) & (up_to >= p - error)
+    return rows.groupBy(group, "n").agg(inside.alias("within_error"))
+
+
+def _sketched_units_within_error(panel: DataFrame) -> DataFrame:
+    """Median survival with units counted by sketches, against the exact count; four standard errors are allowed."""
+    group = "density_category"
+    exact = vc.median_survival(panel, group).select(F.col(group).alias("_group"), F.col("n_units").alias("_exact"))
+    about = vc.median_survival(panel, group, unit_bits=12).join(exact, F.col(group).eqNullSafe(F.col("_group")))
+    off = F.abs(F.col("n_units") - F.col("_exact"))
+    return about.select(group, "median_day", "median_day_text", (off <= 1 + 4 * vc.unit_count_error(12) * F.col("_exact")).alias("within_error"))
+
+
+def _summary(panel: DataFrame) -> vc.UnitSummary:
+    """States of the early days merged with those of the late ones."""
+    early = F.coalesce(F.col(_DAY) < 25, F.lit(False))
+    return vc.unit_summary(panel.filter(early)).merge(vc.unit_summary(panel.filter(~early)))
+
+
 def _by_cross_and_genotype(df: DataFrame) -> DataFrame:
     return df.withColumn("cross_genotype", F.concat_ws(" / ", "cross_id", "genotype"))
 
@@ -98,6 +131,7 @@ def queries() -> dict[str, Query]:
         "stats_table_as_text": _clean(
             lambda p: vc.stats_table(vc.welch_ttest(p), as_text=True), rounded=False
         ),
+        "conversion_faults": lambda spark, sf_dir: vc.conversion_faults(dirty_panel(spark, sf_dir)),
         # Curves
         "cohort_curve_sd": _clean(lambda p: vc.survival_curve(p, "density_category")),
         "cohort_curve_sd_filtered": _clean(
@@ -120,6 +154,7 @@ def queries() -> dict[str, Query]:
             lambda p: vc.median_survival(p, "genotype_housing", threshold=_LOW_THRESHOLD)
         ),
         "dirty_median_survival": _dirty(lambda p: vc.median_survival(p, "density_category")),
+        "dirty_median_survival_sketched_units": _dirty(_sketched_units_within_error),
         "unit_curves": _clean(lambda p: vc.unit_curves(p, "genotype_housing"), rounded=False),
         "dirty_unit_curves": _dirty(lambda p: vc.unit_curves(p, "density_category"), rounded=False),
         "cumulative_events": _clean(
@@ -163,6 +198,16 @@ def queries() -> dict[str, Query]:
         ),
         "critical_period_stats": _clean(vc.critical_period_stats),
         "dirty_critical_period_stats": _dirty(vc.critical_period_stats),
+        "approximate_quantiles": _clean(_quantiles_within_error),
+        # From merged states of units
+        "distribution_box_from_summary": _clean(
+            lambda p: vc.distribution_box(_summary(p), "final_survival_rate", "density_category")
+        ),
+        "dirty_critical_period_stats_from_summary": _dirty(lambda p: vc.critical_period_stats(_summary(p))),
+        "dirty_welch_ttest_from_summary": _dirty(lambda p: vc.welch_ttest(_summary(p), with_p=False)),
+        "anova_critical_day_from_summary": _clean(
+            lambda p: vc.one_way_anova(_summary(p), "critical_day", with_p=False)
+        ),
         # Final level, scatter and trend
         "final_by_two_groups": _clean(vc.final_level),
         "dirty_final_by_two_groups": _dirty(vc.final_level),
@@ -189,6 +234,9 @@ def queries() -> dict[str, Query]:
         "nelson_aalen_ci": _clean(
             lambda p: vc.nelson_aalen(vc.individuals_weighted(p), confidence=True)
         ),
+        "dirty_nelson_aalen_by_ranges": _dirty(
+            lambda p: vc.nelson_aalen(vc.individuals_weighted(p), time_block=7)
+        ),
         "dirty_nelson_aalen_ci": _dirty(
             lambda p: vc.nelson_aalen(vc.individuals(p), confidence=True)
         ),
@@ -657,6 +705,11 @@ _PANEL_COLUMNS = """dish_id, genotype, in_beaker, density_category, cross_id, da
        volume_per_fish, fish_density, housing, genotype_housing"""
 
 
+_TYPED_COLUMNS = [
+    c for c in re.findall(r"\w+", _PANEL_COLUMNS) if c not in ("dish_id", "housing", "genotype_housing")
+] + ["status", "water_changed", "vol_water_changed", "max_decline", "critical_day"]
+
+
 def _options(group: str) -> str:
     return f"""
 SELECT {group}, CAST(row_number() OVER (ORDER BY {group}) - 1 AS INTEGER) AS ordinal
@@ -745,6 +798,10 @@ SELECT housing, CAST(floor(final_survival_rate / 5.0) AS BIGINT) AS bin,
        {_r('floor(final_survival_rate / 5.0) * 5.0')} AS bin_start, count(*) AS n
 FROM finals WHERE final_survival_rate IS NOT NULL AND housing IS NOT NULL GROUP BY 1, 2, 3""",
         "critical_period_stats": _critical_stats(),
+        "approximate_quantiles": """
+SELECT density_category, count(*) AS n, true AS within_error FROM panel
+WHERE density_category IS NOT NULL AND survival_rate IS NOT NULL AND NOT isnan(survival_rate) GROUP BY 1""",
+        "distribution_box_from_summary": _ORDERED_SQL + _box("finals", "final_survival_rate", "density_category"),
         "final_by_two_groups": _FINAL_LEVEL_SQL,
         "final_points": _FINAL_POINTS_SQL,
         "scatter_latest": _scatter("latest", "volume_per_fish") + "\nSELECT * FROM points",
@@ -769,6 +826,9 @@ FROM welch LEFT JOIN beta_values USING (genotype)""",
         "anova_critical_day": _declines("density_category")
         + _anova("declines", "critical_day", "density_category")
         + f"\nSELECT {_anova_columns('density_category')} FROM groups CROSS JOIN tested",
+        "anova_critical_day_from_summary": _declines("density_category")
+        + _anova("declines", "critical_day", "density_category")
+        + f"\nSELECT {_anova_columns('density_category')} FROM groups CROSS JOIN tested",
         "anova_p": _ORDERED_SQL + _anova_p("finals", "final_survival_rate", "density_category"),
     }
     dirty = {
@@ -778,6 +838,17 @@ SELECT {_PANEL_COLUMNS}, status, water_changed, vol_water_changed, max_decline,
         "dirty_cohort_curve_sd": clean["cohort_curve_sd"],
         "dirty_remaining_curve": clean["remaining_curve"],
         "dirty_median_survival": clean["median_survival"],
+        "dirty_median_survival_sketched_units": _median("density_category").replace(
+            "coalesce(n, 0) AS n_units, median_day, median_day_text", "median_day, median_day_text, true AS within_error"
+        ),
+        "conversion_faults": "\n"
+        + "\nUNION ALL ".join(
+            f"""SELECT '{c}' AS "column", (SELECT count({c}) FROM raw) AS known, (SELECT count({c}) FROM raw) - (SELECT count({c}) FROM typed) AS lost"""
+            for c in _TYPED_COLUMNS
+        ),
+        "dirty_critical_period_stats_from_summary": clean["critical_period_stats"],
+        "dirty_welch_ttest_from_summary": clean["welch_ttest"],
+        "dirty_nelson_aalen_by_ranges": clean["nelson_aalen"],
         "dirty_unit_curves": _lines("density_category", "survival_rate", "true"),
         "dirty_cumulative_events": _lines(
             "density_category",
