@@ -5,7 +5,8 @@ end, behind the word of the least hash among them. So any run of ``WINDOW``
 words has a cut that these words alone decide, and whatever stands around a
 passage of 50 words, it holds a whole span. A span starts at every piece and
 takes as few as hold ``min_words`` words, two at least. Spans are joined
-globally by a 128-bit hash. The first occurrence (smallest document id, then
+globally by a 128-bit hash: two polynomials in the words' hashes, which prefix
+sums give for all spans of a text at once. The first occurrence (smallest document id, then
 place) stays; pieces that any other occurrence covers are cut out of their
 text.
 """
@@ -38,19 +39,51 @@ _REMEMBERED = 1_000_000
 _WORDS = re.compile(r"[^\t-\r ]+[\t-\r ]*|[\t-\r ]+")
 
 
-class _Ranks(dict):
-    """Word as it stands, with the blanks after it, to its hash without them and without ASCII case; 0 behind a sentence."""
+class _Hashes(dict):
+    """Word as it stands, with the blanks after it, to the 64-bit hash of it without them and without ASCII case.
+
+    The lowest bit is not the hash's: it tells that the word ends a sentence.
+    """
 
     def __missing__(self, word: str) -> int:
         if len(self) > _REMEMBERED:
             self.clear()
         bare = word.rstrip("\t\n\v\f\r ")
+        if not bare:
+            return 0
         ends = "\n" in word or bare.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", "。", "！", "？")
-        rank = self[word] = 0 if ends and bare else xxhash.xxh32_intdigest(bare.encode("utf-8", "surrogatepass").lower()) >> 1 or 1
-        return rank
+        found = self[word] = xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass").lower()) & ~1 | ends
+        return found
+
+
+_HASHES = _Hashes()
+_END = np.uint64(1)
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
 
+class _Powers:
+    """Powers of an odd number modulo 2^64 and of its inverse, as many as were needed so far."""
 
-_RANKS = _Ranks()
+    def __init__(self, base: int):
+        self._bases = base, pow(base, -1, 1 << 64)
+        self._kept = np.zeros((2, 0), np.uint64)
+
+    def get(self, count: int) -> np.ndarray:
+        if self._kept.shape[1] < count:
+            size = 1 << max(16, (count - 1).bit_length())
+            self._kept = np.array([np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)))) for b in self._bases])
+        return self._kept
+
+
+_POWERS = _Powers(0x9E3779B97F4A7C15), _Powers(0xD1342543DE82EF95)
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
 def _words(text: str) -> tuple[list[str], np.ndarray]:
@@ -69,16 +102,25 @@ def _words(text: str) -> tuple[list[str], np.ndarray]:
     return words, counts
 
 
-def _cuts(words: list[str]) -> np.ndarray:
-    """Numbers of words before each cut, ascending, the last one that of all words."""
-    ranks = np.fromiter(map(_RANKS.__getitem__, words), np.int64, len(words))
-    ends = np.flatnonzero(ranks == 0) + 1
-    least, reach = ranks << 31 | np.arange(len(words)), 1
-    while reach < WINDOW and len(words) >= WINDOW:
-        step = min(reach, WINDOW - reach)
-        least, reach = np.minimum(least[:-step], least[step:]), reach + step
-    inner = (np.unique(least) & _RUN_MASK) + 1 if reach == WINDOW else ends[:0]
-    return np.union1d(np.union1d(ends, inner), [len(words)])
+def _cuts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Numbers of words before each cut, ascending, in texts that begin at ``starts`` (one more for the end); each text ends with one."""
+    count = len(hashes)
+    cut = np.zeros(count + 1, bool)
+    sentence = (hashes & _END).astype(bool)
+    cut[1:] = sentence
+    if count >= WINDOW:
+        ranks = np.where(sentence, 0, (hashes >> np.uint64(34)).astype(np.int64) + 1)
+        least, reach = ranks << _RUN_BITS | np.arange(count), 1
+        while reach < WINDOW:
+            step = min(reach, WINDOW - reach)
+            least, reach = np.minimum(least[:-step], least[step:]), reach + step
+        inside = np.ones(count, bool)  # whether the window from a word on stays in its text
+        for back in range(1, WINDOW):
+            inside[np.maximum(starts[1:] - back, 0)] = False
+        cut[(least[inside[: len(least)]] & _RUN_MASK) + 1] = True
+    cut[starts[1:]] = True
+    cut[0] = False
+    return np.flatnonzero(cut)
 
 
 def sentences_of(text: str) -> list[str]:
@@ -86,41 +128,60 @@ def sentences_of(text: str) -> list[str]:
     if not text:
         return []
     words, _ = _words(text)
-    cuts = _cuts(words).tolist()
+    cuts = _cuts(_hashes(words), np.array([0, len(words)])).tolist()
     return ["".join(words[a:b]) for a, b in zip([0, *cuts], cuts)]
 
 
-def spans_of(text: str, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> list[tuple[int, int, bytes]]:
-    """(first piece, pieces, 16-byte hash) of every span; case (A-Z) and blanks do not count.
-
-    A text that is too short for a span of its own has one span if it holds ``min_words`` words, else none.
-    """
-    words, counts = _words(text)
-    if not len(words):
-        return []
-    cuts = _cuts(words)
-    begins = np.concatenate(([0], cuts[:-1]))
+def _span_table(texts: list[str | None], min_words: int, min_sentences: int) -> tuple[np.ndarray, ...]:
+    """Text, first piece, pieces and both hashes of every span, in the order of the texts."""
+    words: list[str] = []
+    parts, sizes = [], []
+    for text in texts:
+        own, counts = _words(text) if text else ([], np.zeros(0, np.int64))
+        words += own
+        parts.append(counts)
+        sizes.append(len(own))
+    starts = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    counts, hashes = np.concatenate([np.zeros(0, np.int64), *parts]), _hashes(words)
+    cuts = _cuts(hashes, starts)
+    begins = np.concatenate(([0], cuts))[: len(cuts)]
     total = np.concatenate(([0], np.cumsum(counts)))
+    owner = np.searchsorted(starts, begins, "right") - 1  # the text of each piece
+    head, tail = np.searchsorted(owner, np.arange(len(sizes)), "left"), np.searchsorted(owner, np.arange(len(sizes)), "right")
     filled = np.flatnonzero(total[cuts] > total[begins])  # pieces of blanks alone neither start a span nor count as one
-    if not len(filled):
-        return []
     # after how many pieces there are enough words, and enough pieces with words
     enough = np.searchsorted(total[cuts], total[begins[filled]] + 2 * min_words, "left") + 1
     pair = np.full(len(filled), len(cuts) + 1)
     pair[: max(0, len(filled) - min_sentences + 1)] = filled[min_sentences - 1 :] + 1
-    ends = np.maximum(enough, pair)
-    plain = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(plain) != len(words):  # blanks before the first word, or letters
-        plain = [w.rstrip("\t\n\v\f\r ").encode("utf-8", "surrogatepass").lower() for w in words]
-    kept = ends <= len(cuts)
-    firsts, lasts = filled[kept], ends[kept]
-    found = [
-        (a, b - a, xxhash.xxh3_128_digest(b" ".join(plain[at:to]).strip()))
-        for a, b, at, to in zip(firsts.tolist(), lasts.tolist(), begins[firsts].tolist(), cuts[lasts - 1].tolist())
-    ]
-    if not found and total[-1] >= 2 * min_words:
-        found = [(0, len(cuts), xxhash.xxh3_128_digest(b" ".join(plain).strip()))]
-    return found
+    lasts = np.maximum(enough, pair)
+    kept = lasts <= tail[owner[filled]]
+    firsts, lasts = filled[kept], lasts[kept]
+    # a text too short for a span of its own is one, if it holds enough words
+    whole = np.flatnonzero(total[starts[1:]] - total[starts[:-1]] >= 2 * min_words)
+    whole = np.setdiff1d(whole, owner[firsts])
+    firsts, lasts = np.concatenate((firsts, head[whole])), np.concatenate((lasts, tail[whole]))
+    order = np.argsort(firsts, kind="stable")
+    firsts, lasts = firsts[order], lasts[order]
+    text = owner[firsts]
+    # blanks before the first word are a word of hash 0: they add nothing, and the place after them is the first
+    at, to = begins[firsts], cuts[lasts - 1] if len(cuts) else firsts
+    at = at + ((at == starts[text]) & (counts[at] == 0)) if len(at) else at
+    both = []
+    for powers, values in zip(_POWERS, (hashes & ~_END, _scrambled(hashes & ~_END))):
+        up, down = powers.get(len(words) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(words)], dtype=np.uint64)))
+        both.append(_scrambled((sums[to] - sums[at]) * down[at]))
+    return text, firsts - head[text], lasts - firsts, *both
+
+
+def spans_of(text: str, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> list[tuple[int, int, bytes]]:
+    """(first piece, pieces, 16-byte hash) of every span; case (A-Z) and blanks do not count.
+
+    A text that is too short for a span of its own has one span if it holds ``min_words`` words, else none.
+    """
+    _, first, count, one, two = _span_table([text], min_words, min_sentences)
+    digests = np.stack([one, two], 1).tobytes()
+    return [(a, n, digests[16 * i : 16 * i + 16]) for i, (a, n) in enumerate(zip(first.tolist(), count.tolist()))]
 
 
 def sentence_spans(docs: DataFrame, id_col: str, text_col: str, min_words: int, min_sentences: int) -> DataFrame:
@@ -134,19 +195,16 @@ def sentence_spans(docs: DataFrame, id_col: str, text_col: str, min_words: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_pieces(batches, "_text"):
-            rows, places, hashes = [], [], []
-            for i, text in enumerate(texts):
-                seen: set[bytes] = set()
-                for first, n, digest in spans_of(text, min_words, min_sentences) if text else ():
-                    rows.append(i)
-                    place = first << _RUN_BITS | n
-                    places.append(-place if digest in seen else place)
-                    hashes.append(digest)
-                    seen.add(digest)
-            at = pa.array(rows, pa.int64())
-            both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            rows, first, count, one, two = _span_table(texts, min_words, min_sentences)
+            place = first << _RUN_BITS | count
+            # what a text has further up: the order keeps equal spans of a text as they stand
+            order = np.lexsort((two, one, rows))
+            again = (rows[order[1:]] == rows[order[:-1]]) & (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+            later = order[1:][again]
+            place[later] = -place[later]
+            at = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("_id").take(at), piece.column("_key").take(at), pa.array(places, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])],
+                [piece.column("_id").take(at), piece.column("_key").take(at), pa.array(place), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
                 names=["_id", "_key", "place", "h1", "h2"],
             )
 
