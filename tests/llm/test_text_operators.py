@@ -131,6 +131,45 @@ def test_contamination_equals_all_windows(docs, spark, window, block_words):
     assert got == sorted((t or "", *x) for t, x in zip(texts, _plain_contamination(texts, items, window)))
 
 
+def test_items_larger_than_a_block_and_a_very_long_text(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    big = [word() for _ in range(3_000)]
+    filler = " ".join(word() for _ in range(20_000))
+    texts = [" ".join(big[at : at + n]) + " " + filler[:400] for at, n in ((0, 13), (87, 14), (88, 13), (93, 200), (2_987, 13), (500, 12), (2_000, 900))]
+    texts += [texts[3]] * 40 + [None, ""]
+    texts.append(f"{filler} " * 160 + " ".join(big[1_000:1_500]) + f" {filler}")
+    assert len(texts[-1]) > 19_000_000
+    items = [(1, " ".join(big)), (2, " ".join(big[90:130])), (3, "日本" * 3_000 + " é")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(4)
+    listed = spark.createDataFrame(items, "item_id int, text string")
+    expected = _plain_contamination(texts, items, 13)
+    for block_words in (100, 2_000, 500_000):
+        found = decontaminate.contamination(docs, listed, block_words=block_words).orderBy("doc_id")
+        assert [(r.n_words, r.n_hit, r["items"], r.contaminated) for r in found.drop("text").collect()] == expected
+
+
+def test_no_block_of_items_is_above_its_bound(spark):
+    items = spark.createDataFrame([(str(i), _text(i, 10 + 37 * i % 400)) for i in range(60)] + [("long", LONG), ("none", "")], "_id string, _text string")
+    parts = decontaminate._parts(items, 13, 300)
+    words = decontaminate._item_words(decontaminate._dealt(parts.cache(), 500))
+    sizes = [r["count"] for r in words.groupBy("_block").count().collect()]
+    assert max(sizes) <= 500 and len(sizes) <= 3 * sum(sizes) / 500
+    assert parts.agg(F.max("_size")).first()[0] <= 300 and parts.where("_id = 'none'").count() == 0
+
+
+@pytest.mark.parametrize("part", [1, 7, 64])
+def test_words_are_hashed_alike_in_parts_of_any_size(monkeypatch, part):
+    texts = [r[1] for r in _rows() if r[1] is None or len(r[1]) < 6_000] + ["é" * 200 + " " + "é" * 200, "ab" * 90, "", "a\0b"]
+    whole = decontaminate._Words(texts)
+    monkeypatch.setattr(decontaminate, "_PART_BYTES", part)
+    cut = decontaminate._Words(texts)
+    assert cut.hashes.tolist() == whole.hashes.tolist() and cut.starts.tolist() == whole.starts.tolist() and cut.begins.tolist() == whole.begins.tolist()
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    assert np.diff(whole.begins).tolist() == [len(w) for w in words]
+    assert whole.between(0, len(whole.hashes)) == [w.encode() for own in words for w in own]
+
+
 def test_decontaminate_keeps_columns(docs, none, spark):
     items = spark.createDataFrame([(1, _rows()[8][1])], "item_id int, text string")
     kept = decontaminate.decontaminate(docs, items)
