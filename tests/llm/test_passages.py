@@ -1,6 +1,8 @@
 """Passages of 50 words and more, planted in the middle of sentences, against plain substring search."""
 
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -67,3 +69,35 @@ def test_query_cuts_a_passage_planted_in_a_sentence(spark):
     out = substrings.drop_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
     assert out[0].text == texts[0]
     assert all(len(r.text) < len(t) - len(passage) / 2 for r, t in zip(out[1:], texts[1:]))
+
+
+def test_documents_that_share_short_lines_alone_stay(spark):
+    rng = random.Random(4)
+    lines = [" ".join(_word(rng) for _ in range(n)) + ".\n" for n in (5, 13, 20)]
+    texts = ["".join(line + " ".join(_word(rng) for _ in range(30)) + ".\n" for line in lines) for _ in range(9)]
+    out = substrings.drop_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert [r.text for r in out.orderBy("doc_id").collect()] == texts
+
+
+def test_documents_against_plain_runs_of_words(spark):
+    """No run of 50 words of an earlier document stays, and no word goes that is not in a run of 24 that stands further up."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = dict(docs.orderBy("doc_id").select("doc_id", "text").collect())
+    after = dict(substrings.drop_repeats(docs).select("doc_id", "text").collect())
+    words = lambda t: re.findall(r"[^\t-\r ]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    runs = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    assert after.keys() == before.keys()
+    fifty, known, cut = set(), set(), 0
+    for doc, text in before.items():
+        own, left = words(text), words(after[doc])
+        assert not fifty & set(runs(left, 50))
+        fifty |= set(runs(own, 50))
+        repeated = set()
+        for i, run in enumerate(runs(own, 24)):
+            if run in known:
+                repeated.update(range(i, i + 24))
+            known.add(run)
+        gone = Counter(own) - Counter(left)
+        assert gone <= Counter(own[i] for i in repeated)
+        cut += bool(gone)
+    assert cut > 10

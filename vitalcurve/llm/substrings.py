@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import columns_of, free_name, text_pieces, written
 
-#: Words that a span holds at least, and the pieces it takes at least.
-MIN_WORDS = 12
+#: Words that a span holds at least, so that lines of fewer words, which many documents share, stay; and the pieces it takes at least.
+MIN_WORDS = 24
 MIN_SENTENCES = 2
 #: So many words in a row have a cut among them: 3 * WINDOW, and 2 * WINDOW + MIN_WORDS, are less than 50.
 WINDOW = 12
