@@ -101,3 +101,56 @@ def test_documents_against_plain_runs_of_words(spark):
         assert gone <= Counter(own[i] for i in repeated)
         cut += bool(gone)
     assert cut > 10
+
+
+def _plain_cuts(rows):
+    """Texts that stay, by one walk over all rows in the order of their ids; rows with one id share what stands before them."""
+    seen, out = set(), []
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0))
+    for i, (doc, text) in enumerate(order):
+        if i == 0 or doc != order[i - 1][0]:
+            before = seen
+        mine, gone = set(), set()
+        for first, n, digest in substrings.spans_of(text or ""):
+            if digest in before or digest in mine:
+                gone.update(range(first, first + n))
+            mine.add(digest)
+        seen = seen | mine
+        out.append((doc, text and "".join(s for k, s in enumerate(substrings.sentences_of(text)) if k not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("order", ["up", "down", "mixed"])
+@pytest.mark.parametrize("ids", ["numbers", "words", "shared and null"])
+def test_hot_passages_over_many_slices(spark, order, ids):
+    rng = random.Random(f"{order} {ids}")
+    text = lambda n: " ".join(_word(rng) for _ in range(n))
+    hot = [text(60) for _ in range(3)]
+    rows = [(i, f"{text(20)} {rng.choice(hot)} {text(20)}" if i % 3 else f"{hot[0]} {text(9)} {hot[0]}") for i in range(90)]
+    rows += [(90, None), (91, ""), rows[5], rows[5]]
+    if ids == "words":
+        rows = [(f"{i:04d}", t) for i, t in rows]
+    elif ids == "shared and null":
+        rows = [(None if i % 4 == 0 else i // 3, t) for i, t in rows]
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0) if ids != "words" else (False, r[0]), reverse=order == "down")
+    if order == "mixed":
+        rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        docs = spark.createDataFrame(rows, f"doc_id {'string' if ids == 'words' else 'bigint'}, text string").repartition(3).sortWithinPartitions("doc_id", ascending=order == "up")
+        found = [tuple(r) for r in substrings.drop_repeats(docs).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(found, key=repr) == sorted(_plain_cuts(rows), key=repr)
+
+
+def test_a_hot_span_leaves_few_rows_to_one_shuffle(spark):
+    rng = random.Random(6)
+    hot = " ".join(_word(rng) for _ in range(60))
+    texts = [f"{_word(rng)} {hot} " + " ".join(_word(rng) for _ in range(40)) for _ in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    spans = substrings.sentence_spans(docs, "doc_id", "text", substrings.MIN_WORDS, substrings.MIN_SENTENCES)
+    most = max(r["count"] for r in spans.groupBy("h1", "h2").count().collect())
+    assert most <= 3 * 4 and spans.where("place < 0").count() > 900
+    plan = substrings.repeated_spans(spans)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1

@@ -6,9 +6,10 @@ words has a cut that these words alone decide, and whatever stands around a
 passage of 50 words, it holds a whole span. A span starts at every piece and
 takes as few as hold ``min_words`` words, two at least. Spans are joined
 globally by a 128-bit hash: two polynomials in the words' hashes, which prefix
-sums give for all spans of a text at once. The first occurrence (smallest document id, then
-place) stays; pieces that any other occurrence covers are cut out of their
-text.
+sums give for all spans of a text at once. The spans are made once and pass one
+shuffle; of a span that many documents of a task hold, one row or so meets the
+other tasks' rows. The first occurrence (smallest document id, then place)
+stays; pieces that any other occurrence covers are cut out of their text.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns_of, free_name, text_pieces, written
+from .common import columns_of, free_name, text_pieces
 
 #: Words that a span holds at least, so that lines of fewer words, which many documents share, stay; and the pieces it takes at least.
 MIN_WORDS = 24
@@ -34,7 +36,7 @@ WINDOW = 12
 LONG_WORD = 24
 _RUN_BITS = 31
 _RUN_MASK = (1 << _RUN_BITS) - 1
-#: Hashes of words that a worker remembers before it starts afresh.
+#: Hashes of words, and of spans, that a worker remembers before it starts afresh.
 _REMEMBERED = 1_000_000
 _WORDS = re.compile(r"[^\t-\r ]+[\t-\r ]*|[\t-\r ]+")
 
@@ -184,27 +186,73 @@ def spans_of(text: str, min_words: int = MIN_WORDS, min_sentences: int = MIN_SEN
     return [(a, n, digests[16 * i : 16 * i + 16]) for i, (a, n) in enumerate(zip(first.tolist(), count.tolist()))]
 
 
+class _Firsts(dict):
+    """Hash of a span to the smallest id that the task has met it with; of hashes that a slice of texts holds more than once."""
+
+    def settled(self, hashes: list[tuple[int, int]], ids: list) -> np.ndarray:
+        """Whether each hash was met with a smaller id than the one now given; the others are remembered with it."""
+        if len(self) > _REMEMBERED:
+            self.clear()
+        out = np.zeros(len(hashes), bool)
+        for i, (span, own) in enumerate(zip(hashes, ids)):
+            met = self.get(span)
+            if met is not None and (own is None or met < own):
+                out[i] = True
+            elif own is not None:
+                self[span] = own
+        return out
+
+
+def _decided(rows: np.ndarray, ranks: np.ndarray, one: np.ndarray, two: np.ndarray, ids: list, firsts: _Firsts) -> np.ndarray:
+    """Which spans are known not to be the first with their hash: further down in their text, or after a smaller id that the task has met.
+
+    ``ranks`` are those of the ids of the texts, equal for equal ids; the first
+    row of each id and hash is left open, as other tasks may hold a smaller id.
+    """
+    rank = ranks[rows]
+    order = np.lexsort((rows, rank, two, one))  # stable: equal spans of a text keep their order
+    same = np.zeros(len(order), bool)
+    same[1:] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+    again = same.copy()
+    again[1:] &= rows[order[1:]] == rows[order[:-1]]
+    group = np.cumsum(~same) - 1
+    heads = order[~same]
+    many = np.flatnonzero(np.bincount(group, minlength=len(heads)) > 1)
+    hot = heads[many]
+    settled = np.zeros(len(heads), bool)
+    settled[many] = firsts.settled(list(zip(one[hot].tolist(), two[hot].tolist())), [ids[r] for r in rows[hot].tolist()])
+    known = np.zeros(len(order), bool)
+    known[order] = again | (rank[order] > rank[heads][group]) | settled[group]
+    return known
+
+
 def sentence_spans(docs: DataFrame, id_col: str, text_col: str, min_words: int, min_sentences: int) -> DataFrame:
     """(_id, _key, place, h1, h2) of every span.
 
     _key tells rows with one id apart; place packs the first piece (from bit
-    31 up) and their number, and is negative where the document has the span
-    further up.
+    31 up) and their number. It is negative where the task itself knows that
+    the span is not the first; its hash is then a number of its own, so that
+    a span which every document holds is spread over the shuffle, and only
+    one row or so of each task meets the others with that hash.
     """
     source = docs.select(F.col(id_col).alias("_id"), F.hash(text_col).alias("_key"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = _Firsts()
         for piece, texts in text_pieces(batches, "_text"):
+            owners = piece.column("_id")
+            ids = owners.to_pylist()
+            once: dict = {}  # equal rows have the same spans and share their verdict
+            texts = [t if once.setdefault((own, t), i) == i else None for i, (own, t) in enumerate(zip(ids, texts))]
             rows, first, count, one, two = _span_table(texts, min_words, min_sentences)
             place = first << _RUN_BITS | count
-            # what a text has further up: the order keeps equal spans of a text as they stand
-            order = np.lexsort((two, one, rows))
-            again = (rows[order[1:]] == rows[order[:-1]]) & (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
-            later = order[1:][again]
-            place[later] = -place[later]
+            ranks = pc.rank(owners, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy(zero_copy_only=False)
+            known = _decided(rows, ranks, one, two, ids, firsts)
+            place[known] = -place[known]
+            one = np.where(known, _scrambled(one + np.arange(1, len(one) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), one)
             at = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("_id").take(at), piece.column("_key").take(at), pa.array(place), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                [owners.take(at), piece.column("_key").take(at), pa.array(place), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
                 names=["_id", "_key", "place", "h1", "h2"],
             )
 
@@ -215,14 +263,12 @@ def sentence_spans(docs: DataFrame, id_col: str, text_col: str, min_words: int,
 def repeated_spans(spans: DataFrame) -> DataFrame:
     """(_id, _key, place) of the spans that are not the first with their hash.
 
-    First is the smallest document id, and the top of that document. The count
-    of a span's occurrences is combined in the tasks before the shuffle. The
-    repeated hashes are written, so that both sides of the join come straight
-    from a shuffle and adaptive execution can split it: a span that every
-    document holds is no hot task.
+    First is the smallest document id, and the top of that document. The spans
+    pass one shuffle, sorted by hash and read in that order. What a task knew
+    to be a repeat comes through it under a hash of its own.
     """
-    groups = spans.groupBy("h1", "h2").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    again = spans.join(written(groups, "repeated-hashes"), ["h1", "h2"]).where("place < 0 OR _id > _least OR (_id IS NULL AND _least IS NOT NULL)")
+    least = F.min(F.when(F.col("place") > 0, F.col("_id"))).over(Window.partitionBy("h1", "h2"))
+    again = spans.withColumn("_least", least).where("place < 0 OR _id > _least OR (_id IS NULL AND _least IS NOT NULL)")
     return again.select("_id", "_key", F.abs("place").alias("place"))
 
 
