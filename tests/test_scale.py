@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import vitalcurve as vc
+from vitalcurve.plans import clean_panel, line_item_panel
 
 SF_DIR = "/root/testdata/sf0.001"
 _P_VALUES = {
@@ -168,3 +169,26 @@ def test_quantiles_read_their_table_once(stored):
     # one for the units, one for the count, and three for the steps; those of ReusedExchange are the same shuffles again
     assert len([x for x in final.splitlines() if "Exchange hashpartitioning" in x and "ReusedExchange" not in x]) <= 6
     assert "ReusedExchange" in final and "percentile" not in final
+
+
+@pytest.fixture(scope="module")
+def thousand_units(spark, tmp_path_factory):
+    """A thousand parts of three line items each."""
+    folder = str(tmp_path_factory.mktemp("units"))
+    n = F.col("id")
+    spark.range(1000).select(
+        n.alias("p_partkey"), F.concat(F.lit("Brand#"), n % 5).alias("p_brand"), F.lit("t").alias("p_type"), (n % 50).cast("int").alias("p_size")
+    ).write.parquet(f"{folder}/part.parquet")
+    spark.range(3000).select(
+        (n % 1000).alias("l_partkey"), F.to_timestamp_ntz(F.lit("1995-06-01 00:00:00")).alias("l_shipdate")
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def test_panel_rows_are_made_by_as_many_tasks_as_units_need(spark, thousand_units, monkeypatch):
+    monkeypatch.setattr(line_item_panel, "_UNITS_PER_TASK", 20)
+    units = clean_panel(spark, thousand_units).select("dish_id", F.spark_partition_id().alias("task")).distinct()
+    tasks = units.groupBy("task").count().collect()
+    assert sum(r["count"] for r in tasks) == 1000
+    # 50 tasks by hash, where adaptive execution would merge them into a few
+    assert len(tasks) > 40 and max(r["count"] for r in tasks) < 60
