@@ -192,3 +192,12 @@ def test_panel_rows_are_made_by_as_many_tasks_as_units_need(spark, thousand_unit
     assert sum(r["count"] for r in tasks) == 1000
     # 50 tasks by hash, where adaptive execution would merge them into a few
     assert len(tasks) > 40 and max(r["count"] for r in tasks) < 60
+
+
+def test_latest_rows_are_ranked_before_the_shuffle(spark, thousand_units, stored):
+    plan = plan_of(vc.latest_rows(stored))
+    assert plan.count("Exchange") == 1 and plan.count("WindowGroupLimit") == 2 and "Join" not in plan
+    assert plan.count("FileScan parquet") == 1
+    # A panel that lies by unit is not shuffled again.
+    panel = clean_panel(spark, thousand_units)
+    assert plan_of(vc.scatter(panel)).count("Exchange hashpartitioning") == plan_of(panel).count("Exchange hashpartitioning")

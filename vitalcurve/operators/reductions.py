@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import contract as C
@@ -135,16 +135,12 @@ def metric_per_unit(
 def latest_rows(df: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     """All rows on the last day of their unit, ties kept.
 
-    The last day is an aggregate (one row per unit) and the rows are picked by a
-    semi join on (unit, day): the days spread a unit that holds many rows over
-    many tasks, where a window over the unit would put them into one, and a
-    small set of units is broadcast by the adaptive planner.
+    Rows of the first rank from the last day back. Spark keeps that rank within
+    each task before it shuffles, so of a unit of many rows only those on the
+    last day that a task has seen leave it, and a panel that is partitioned by
+    unit is not shuffled at all.
     """
     require_columns(df, spec.unit, spec.time)
-    rows = df.withColumn(spec.time, as_long(df, spec.time))
-    last = rows.groupBy(F.col(spec.unit).alias("_unit")).agg(F.max(spec.time).alias("_last"))
-    return rows.join(
-        last,
-        F.col(spec.unit).eqNullSafe(F.col("_unit")) & (F.col(spec.time) == F.col("_last")),
-        "left_semi",
-    )
+    rows = df.withColumn(spec.time, as_long(df, spec.time)).filter(F.col(spec.time).isNotNull())
+    last_first = Window.partitionBy(spec.unit).orderBy(F.col(spec.time).desc())
+    return rows.withColumn("_rank", F.rank().over(last_first)).filter(F.col("_rank") == 1).drop("_rank")
