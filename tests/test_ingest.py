@@ -1,9 +1,10 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 import vitalcurve as vc
-from vitalcurve.functions.columns import keep_groups
+from vitalcurve.functions.columns import as_double, keep_groups
 from vitalcurve.plans import dirty_panel
 
 CSV = '''dish_id,cross_id,genotype,in_beaker,days_since_fertilization,survival_rate,initial_count,extra
@@ -182,3 +183,14 @@ def test_group_options_of_many_values(spark):
     for n in (0, 1, 3):
         assert [tuple(r) for r in vc.group_options(df.limit(0).union(spark.createDataFrame([(str(i),) for i in range(n)], "g string")), "g").collect()] == [(str(i), i) for i in range(n)]
     assert vc.group_options(df, "g", ranges=1).agg({"ordinal": "max"}).first()[0] == 99_999
+
+
+def test_numbers_without_letters_skip_the_pattern(spark):
+    kept = {"7": 7.0, " 2.5 ": 2.5, "1e3": 1000.0, "-.5": -0.5, "Infinity": float("inf"), "5": 5.0}
+    bad = ["5d", "5D ", ".5f\t", "1.F\n", "0x1p3", "0X1P3", "d", "n/a", "-", "", "1_0"]
+    df = spark.createDataFrame([(t,) for t in [*kept, *bad, None]], "survival_rate string")
+    out = dict(df.select(F.col("survival_rate").alias("text"), as_double(df, "survival_rate").alias("v")).collect())
+    assert out == kept | dict.fromkeys([*bad, None])
+    # the cheap check stands before the pattern
+    said = str(as_double(df, "survival_rate")).lower()
+    assert 0 <= said.find("lower(") < said.find("rlike")

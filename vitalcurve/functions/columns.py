@@ -31,7 +31,9 @@ def as_double(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, T.DoubleType):
         return c
     if isinstance(dtype, T.StringType):
-        return F.when(~c.rlike(_JAVA_ONLY_NUMBER), c.try_cast("double"))
+        # Most cells have no letter: to see that takes less than the pattern does.
+        no_letter = F.lower(c) == F.upper(c)
+        return F.when(no_letter | ~c.rlike(_JAVA_ONLY_NUMBER), c.try_cast("double"))
     if not isinstance(dtype, T.NumericType | T.BooleanType):
         return F.lit(None).cast("double")  # a date, say, is not a number
     return c.try_cast("double")
